@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import decontaminate, line_dedup, mixing, simhash
+from orrery.llm import decontaminate, language_id, line_dedup, mixing, simhash
 from orrery.llm.common import stored, table
 from orrery.session import importable
 
 
+def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language_id.identified_only(docs, language_id.learned(docs))
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicated(docs)
 
@@ -26,6 +30,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language_id", drop_unidentified),
     ("line_dedup", drop_repeated_lines),
     ("simhash_near_dedup", drop_near_copies),
     ("decontamination", cut_benchmark),
