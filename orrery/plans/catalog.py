@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import graph
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "graph"]
