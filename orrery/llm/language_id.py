@@ -36,7 +36,7 @@ BATCH = 96
 MIN_CONFIDENCE = 0.3
 UND = "und"
 #: Bytes of text whose segments run side by side.
-LOT = 1 << 18
+LOT = 1 << 17
 
 
 class Net(NamedTuple):
@@ -156,32 +156,39 @@ def train(rows: list[tuple[str, str]], seed: int = 1, steps: int = STEPS) -> Net
     return Net(labels, *weights)
 
 
-def _halved(net: Net) -> Net:
-    """The gates' weights halved, for logistic(x) = (1 + tanh(x / 2)) / 2."""
-    w, u = net.w.copy(), net.u.copy()
-    k = 2 * net.u.shape[1]
-    w[..., :k] *= np.float32(0.5)
-    u[..., :k] *= np.float32(0.5)
-    return net._replace(w=w, u=u)
-
-
-def _step(net: Net, way: int, x: np.ndarray, h: np.ndarray) -> None:
-    """One step of a halved network on states h, in place."""
-    hidden = h.shape[1]
-    a, g = net.w[way][x], h @ net.u[way]
-    gates = a[:, : 2 * hidden]
-    gates += g[:, : 2 * hidden]
-    np.tanh(gates, out=gates)
-    gates *= np.float32(0.5)
-    gates += np.float32(0.5)
-    s = g[:, 2 * hidden :]
-    s += net.c[way]
-    s *= gates[:, :hidden]
-    s += a[:, 2 * hidden :]
-    n = np.tanh(s)
-    h -= n
-    h *= gates[:, hidden:]
-    h += n
+class Runner:
+    """One direction of a network at work on up to ``rows`` segments: every array is dense, and made once."""
+
+    def __init__(self, net: Net, way: int, rows: int):
+        hidden = net.u.shape[1]
+        half = [np.float32(0.5), np.float32(0.5), np.float32(1)]  # logistic(x) = (1 + tanh(x / 2)) / 2
+        cut = lambda x, k: np.ascontiguousarray(x[way][:, k * hidden : (k + 1) * hidden] * half[k])
+        self.w, self.u, self.c = [cut(net.w, k) for k in range(3)], [cut(net.u, k) for k in range(3)], net.c[way]
+        self.h = np.zeros((rows, hidden), np.float32)
+        self.a, self.g = (np.empty((rows, hidden), np.float32) for _ in range(2))
+        self.r, self.z = (np.empty((rows, hidden), np.float32) for _ in range(2))
+
+    def step(self, x: np.ndarray) -> np.ndarray:
+        """Read the next bytes of the first len(x) segments; their states."""
+        m = len(x)
+        h, a, g, r, z = self.h[:m], self.a[:m], self.g[:m], self.r[:m], self.z[:m]
+        for k, gate in ((0, r), (1, z)):
+            np.take(self.w[k], x, axis=0, out=gate, mode="clip")
+            np.matmul(h, self.u[k], out=g)
+            gate += g
+            np.tanh(gate, out=gate)
+            gate *= np.float32(0.5)
+            gate += np.float32(0.5)
+        np.take(self.w[2], x, axis=0, out=a, mode="clip")
+        np.matmul(h, self.u[2], out=g)
+        g += self.c
+        g *= r
+        a += g
+        np.tanh(a, out=a)
+        h -= a
+        h *= z
+        h += a
+        return h
 
 
 def positions(net: Net, block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -196,7 +203,9 @@ def positions(net: Net, block: Block) -> tuple[np.ndarray, np.ndarray]:
     start = block.offsets[:-1][text] + nth * SEGMENT
     length = np.minimum(SEGMENT, block.offsets[1:][text] - start)
     order = np.argsort(-length, kind="stable")
-    net = _halved(net)
+    rows = max(1, min(len(order), LOT // SEGMENT))
+    ahead, behind = Runner(net, 0, rows), Runner(net, 1, rows)
+    heads = [np.ascontiguousarray(v.T) for v in net.v]
     padded = np.r_[data, np.zeros(SEGMENT, np.uint8)]
     for lo in range(0, len(order), LOT // SEGMENT):
         own = order[lo : lo + LOT // SEGMENT]
@@ -204,30 +213,27 @@ def positions(net: Net, block: Block) -> tuple[np.ndarray, np.ndarray]:
         active = np.searchsorted(-length[own], -np.arange(SEGMENT), "left")  # rows longer than t
         last = int(length[own[0]])
         word = CLASS[x] == 1
-        h = np.zeros((len(own), net.u.shape[1]), np.float32)
-        back = np.empty((last, len(own), k), np.float32)
+        ahead.h[:], behind.h[:] = 0, 0
+        back = np.empty((last, k, len(own)), np.float32)  # classes first: sums over them are then few long additions
         for t in range(last - 1, -1, -1):
             m = active[t]
-            _step(net, 1, x[t, :m], h[:m])
-            np.matmul(h[:m], net.v[1], out=back[t, :m])
-        h[:] = 0
-        total, best = np.zeros((len(own), k), np.float32), np.zeros((len(own), k), np.int64)
+            np.matmul(heads[1], behind.step(x[t, :m]).T, out=back[t, :, :m])
+        total, best = np.zeros((k, len(own)), np.float32), np.zeros((k, len(own)), np.int32)
         for t in range(last):
             m = active[t]
-            _step(net, 0, x[t, :m], h[:m])
-            p = h[:m] @ net.v[0]
-            p += back[t, :m]
-            p += net.b
-            top = p.max(axis=1, keepdims=True)
-            mask = word[t, :m, None]
-            best[:m] += (p == top) & mask
+            p = heads[0] @ ahead.step(x[t, :m]).T
+            p += back[t, :, :m]
+            p += net.b[:, None]
+            top = p.max(axis=0)
+            mask = word[t, :m]
+            best[:, :m] += (p == top) & mask
             p -= top
             np.exp(p, out=p)
-            p *= mask / p.sum(axis=1, keepdims=True)
-            total[:m] += p
+            p *= mask / p.sum(axis=0)
+            total[:, :m] += p
         for j in range(k):
-            sums[:, j] += np.bincount(text[own], total[:, j], count)
-            labelled[:, j] += np.bincount(text[own], best[:, j], count).astype(np.int64)
+            sums[:, j] += np.bincount(text[own], total[j], count)
+            labelled[:, j] += np.bincount(text[own], best[j], count).astype(np.int64)
     return sums, labelled
 
 
