@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph
+from . import graph, relational
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph"]
+__all__ = ["ORACLES", "QUERIES", "graph", "relational"]

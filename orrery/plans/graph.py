@@ -254,14 +254,14 @@ def strangler(spark, d):
 @query(
     "G19_related_tables",
     f"""{L}, t AS (SELECT id, coalesce(table_name, name) AS t FROM elements WHERE stereotype = 'Entity' OR language IN ('db2', 'dataset')),
-one AS (SELECT id AS entry_id, target_id AS at, 1 AS hop FROM elements JOIN rels ON source_id = id WHERE id LIKE 'orders:%'),
-h1 AS (SELECT DISTINCT entry_id, t, 1 AS hop FROM one JOIN t ON t.id = at), n1 AS (SELECT entry_id, count(*) AS n FROM h1 GROUP BY 1),
-two AS (SELECT DISTINCT entry_id, target_id AS at FROM one JOIN rels ON source_id = at LEFT JOIN n1 USING (entry_id) WHERE coalesce(n, 0) < 8),
-v2 AS (SELECT * FROM two EXCEPT SELECT entry_id, at FROM one),
-three AS (SELECT DISTINCT entry_id, target_id AS at FROM v2 JOIN rels ON source_id = at), v3 AS (SELECT * FROM three EXCEPT SELECT entry_id, at FROM one EXCEPT SELECT * FROM v2),
-h3 AS (SELECT DISTINCT entry_id, t, 3 AS hop FROM v3 JOIN t ON t.id = at), n3 AS (SELECT entry_id, count(DISTINCT t) AS n FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h3) GROUP BY 1),
-four AS (SELECT DISTINCT entry_id, target_id AS at FROM v3 JOIN rels ON source_id = at LEFT JOIN n3 USING (entry_id) WHERE coalesce(n, 0) < 8), v4 AS (SELECT * FROM four EXCEPT SELECT entry_id, at FROM one EXCEPT SELECT * FROM v2 EXCEPT SELECT * FROM v3),
-h4 AS (SELECT DISTINCT entry_id, t, 4 AS hop FROM v4 JOIN t ON t.id = at),
+one AS (SELECT id AS entry_id, target_id AS node, 1 AS hop FROM elements JOIN rels ON source_id = id WHERE id LIKE 'orders:%'),
+h1 AS (SELECT DISTINCT entry_id, t, 1 AS hop FROM one JOIN t ON t.id = node), n1 AS (SELECT entry_id, count(*) AS n FROM h1 GROUP BY 1),
+two AS (SELECT DISTINCT entry_id, target_id AS node FROM one JOIN rels ON source_id = node LEFT JOIN n1 USING (entry_id) WHERE coalesce(n, 0) < 8),
+v2 AS (SELECT * FROM two EXCEPT SELECT entry_id, node FROM one),
+three AS (SELECT DISTINCT entry_id, target_id AS node FROM v2 JOIN rels ON source_id = node), v3 AS (SELECT * FROM three EXCEPT SELECT entry_id, node FROM one EXCEPT SELECT * FROM v2),
+h3 AS (SELECT DISTINCT entry_id, t, 3 AS hop FROM v3 JOIN t ON t.id = node), n3 AS (SELECT entry_id, count(DISTINCT t) AS n FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h3) GROUP BY 1),
+four AS (SELECT DISTINCT entry_id, target_id AS node FROM v3 JOIN rels ON source_id = node LEFT JOIN n3 USING (entry_id) WHERE coalesce(n, 0) < 8), v4 AS (SELECT * FROM four EXCEPT SELECT entry_id, node FROM one EXCEPT SELECT * FROM v2 EXCEPT SELECT * FROM v3),
+h4 AS (SELECT DISTINCT entry_id, t, 4 AS hop FROM v4 JOIN t ON t.id = node),
 best AS (SELECT entry_id, t, min(hop) AS hop FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h3 UNION ALL SELECT * FROM h4) GROUP BY 1, 2)
 SELECT entry_id, string_agg(t, ',' ORDER BY hop, t) AS tables, count(*) AS n_tables FROM best GROUP BY 1""",
 )
