@@ -153,7 +153,7 @@ def by_annotation(annotations: Column, language: Column) -> Column:
     out = None
     for lang, pairs in ANNOTATIONS.items():
         table = F.create_map(*[F.lit(x) for p in pairs.split() for a, b in [p.split(":")] for x in (a, b.replace("_", " "))])
-        told = F.get(F.filter(F.transform(short, lambda s, t=table: t[s]), lambda x: x.isNotNull()), F.lit(0))
+        told = F.get(F.filter(F.transform(short, table.getItem), lambda x: x.isNotNull()), F.lit(0))
         names = ["typescript", "javascript"] if lang == "typescript" else [lang]
         out = F.when(language.isin(names), told) if out is None else out.when(language.isin(names), told)
     return out

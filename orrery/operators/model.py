@@ -220,13 +220,16 @@ CALLS = [
 
 def endpoints(files: DataFrame) -> DataFrame:
     """file_path, role, technology and topic of every broker endpoint in files (path, text)."""
+    def told(role: str, tech: str):
+        return lambda t: F.struct(F.lit(role).alias("role"), F.lit(tech).alias("technology"), t.alias("topic"))
+
     found = []
     for role, tech, rx in ENDPOINTS:
         if "([^" in rx:
             topics = F.regexp_extract_all("text", F.lit(f"(?i){rx}"), F.lit(1))
         else:
             topics = F.when(F.col("text").rlike(f"(?i){rx}"), F.array(F.lit(f"{tech.lower()}-unknown"))).otherwise(_NO_TEXTS)
-        found.append(F.transform(topics, lambda t, r=role, k=tech: F.struct(F.lit(r).alias("role"), F.lit(k).alias("technology"), t.alias("topic"))))
+        found.append(F.transform(topics, told(role, tech)))
     return files.select(F.col("path").alias("file_path"), F.explode(F.concat(*found)).alias("e")).select("file_path", "e.*").distinct()
 
 
@@ -248,7 +251,7 @@ def call_sites(files: DataFrame) -> DataFrame:
     found = []
     for method, rx, group in CALLS:
         paths = F.regexp_extract_all("text", F.lit(rx), F.lit(group))
-        methods = F.transform(paths, lambda p, m=method: F.lit(m)) if method else F.transform(F.regexp_extract_all("text", F.lit(rx), F.lit(1)), F.upper)
+        methods = F.array_repeat(F.lit(method), F.size(paths)) if method else F.transform(F.regexp_extract_all("text", F.lit(rx), F.lit(1)), lambda v: F.upper(v))
         found.append(F.arrays_zip(methods.alias("method"), paths.alias("url")))
     return files.select(F.col("path").alias("file_path"), F.explode(F.concat(*found)).alias("c")).select("file_path", "c.method", "c.url", N.url_path(F.col("c.url")).alias("path")).distinct()
 

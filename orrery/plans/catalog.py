@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph, relational
+from . import graph, model, relational
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph", "relational"]
+__all__ = ["ORACLES", "QUERIES", "graph", "model", "relational"]
