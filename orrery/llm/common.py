@@ -138,6 +138,15 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     return column.cast(pa.string()) if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)) else column
 
 
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes, equal for equal spans wherever they lie."""
+    power, inverse = _power_tables(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+        return mix((sums[end] - sums[start]) * inverse[start])
+
+
 def tokens(block: Block, symbols: bool = False) -> Tokens:
     """Words (maximal runs of word bytes) of a block, folded and hashed; with ``symbols`` runs of other visible bytes too."""
     data, offsets = block.data, block.offsets
@@ -155,12 +164,7 @@ def tokens(block: Block, symbols: bool = False) -> Tokens:
     edges = np.flatnonzero(change)
     inside = kind[edges[:-1]] > 0
     start, end = edges[:-1][inside], edges[1:][inside]
-    power, inverse = _power_tables(n)
-    sums = np.zeros(n + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        np.cumsum((fold(data).astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-        value = mix((sums[end] - sums[start]) * inverse[start])
-    return Tokens(start, end, value, np.searchsorted(start, offsets).astype(np.int64))
+    return Tokens(start, end, span_hashes(fold(data), start, end), np.searchsorted(start, offsets).astype(np.int64))
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -1,6 +1,6 @@
 """Line deduplication (operator 1): of every line that occurs more than once, the first occurrence stays.
 
-1. Each task hashes its lines (64 bits, JVM), keeps every hash once and sends them, 8 bytes each and packed by shard
+1. Each task hashes its lines (64 bits, vectorised over blocks of text), keeps every hash once and sends them, 8 bytes each and packed by shard
    of the hash space, to the shards. A shard inserts them into its *once-seen* Bloom filter; a hash that was in there
    already goes into its *twice-seen* filter. No line text moves.
 2. Every line whose hash is in the twice-seen filter is a suspect. The filters are broadcast if together they stay
@@ -16,12 +16,14 @@ identical rows share their fate, as they share every position; other columns pas
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, stored, table
+from .common import Block, blocks, mix, span_hashes, stored, table, texts_of
 
 BITS_PER_HASH = 16
 PROBES = 4
@@ -71,17 +73,39 @@ def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (mix(hashes.astype(np.uint64) ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(shards)).astype(np.int64)
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """The non-blank lines of ``docs``: doc_id, row, pos, line (trimmed), h."""
-    rows = docs.selectExpr("doc_id", f"{_ROW} AS row", f"posexplode(split({_TEXT}, '\\n')) AS (pos, line)")
-    return rows.selectExpr("doc_id", "row", "pos", "trim(line) AS line").where("line <> ''").withColumn("h", F.xxhash64("line"))
+class Lines(NamedTuple):
+    """The non-blank lines of a block without surrounding blanks."""
+
+    text: np.ndarray  #: index of the text in the block
+    pos: np.ndarray  #: position among all lines of that text
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray  #: int64
+
+
+def lines_of(block: Block) -> Lines:
+    data, offsets = block.data, block.offsets
+    breaks = np.flatnonzero(data == 10)
+    count = np.bincount(np.searchsorted(offsets, breaks, "right") - 1, minlength=len(offsets) - 1) + 1
+    text = np.repeat(np.arange(len(count)), count)
+    pos = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    start, end = np.sort(np.r_[offsets[:-1], breaks + 1]), np.sort(np.r_[breaks, offsets[1:]])
+    visible = np.flatnonzero(data != 32)
+    first, last = np.searchsorted(visible, start), np.searchsorted(visible, end) - 1
+    some = last >= first
+    text, pos, start, end = text[some], pos[some], visible[first[some]], visible[last[some]] + 1
+    return Lines(text, pos, start, end, span_hashes(data, start, end).view(np.int64))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.selectExpr("doc_id", f"{_ROW} AS row", "text")
 
 
 def filters(docs: DataFrame, shards: int) -> DataFrame:
     """The twice-seen filter of each shard of the hash space: shard, size, bits."""
 
     def pack(batches):
-        seen = [b.column(0).to_numpy() for b in batches]
+        seen = [lines_of(block).hash for batch in batches for block in blocks(texts_of(batch))]
         if not seen:
             return
         values, counts = np.unique(np.concatenate(seen), return_counts=True)
@@ -104,48 +128,57 @@ def filters(docs: DataFrame, shards: int) -> DataFrame:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "size", "bits"])
 
-    packed = _lines(docs).select("h").mapInArrow(pack, "shard int, hashes binary, again binary")
-    return packed.repartition(shards, "shard").mapInArrow(build, "shard int, size long, bits binary")
+    packed = docs.select("text").mapInArrow(pack, "shard int, hashes binary, again binary")
+    return packed.repartition(max(8, shards // 4), "shard").mapInArrow(build, "shard int, size long, bits binary")
 
 
 def suspects(docs: DataFrame, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """The lines that the twice-seen filters hold: all repeats and a few others."""
+    """doc_id, row, pos, line and h of the lines that the twice-seen filters hold: all repeats and a few others."""
     spark = docs.sparkSession
     shards = max(MIN_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     built = stored(filters(docs, shards))
-    lines = _lines(docs)
-    if (built.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= max_broadcast:
-        shared = spark.sparkContext.broadcast({r["shard"]: (r["size"], bytes(r["bits"])) for r in built.toLocalIterator()})
-
-        @F.pandas_udf("boolean")
-        def suspected(h):
-            hashes, out = h.to_numpy(), np.zeros(len(h), bool)
-            shard = _shard(hashes, shards)
-            order = np.argsort(shard, kind="stable")
-            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-            for k in np.flatnonzero(np.diff(bounds)):
-                if int(k) in shared.value:
-                    size, bits = shared.value[int(k)]
-                    rows = order[bounds[k] : bounds[k + 1]]
-                    out[rows] = in_filter(hashes[rows], size, np.frombuffer(bits, np.uint8))
-            import pandas as pd
+    small = (built.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= max_broadcast
+    shared = spark.sparkContext.broadcast({r["shard"]: (r["size"], bytes(r["bits"])) for r in built.toLocalIterator()}) if small else None
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
-            return pd.Series(out)
-
-        return lines.where(suspected("h"))
-
-    @F.pandas_udf("int")
-    def shard_of(h):
-        import pandas as pd
-
-        return pd.Series(_shard(h.to_numpy(), shards).astype(np.int32))
+    def suspected(hashes):
+        out = np.zeros(len(hashes), bool)
+        shard = _shard(hashes, shards)
+        order = np.argsort(shard, kind="stable")
+        bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+        for k in np.flatnonzero(np.diff(bounds)):
+            if int(k) in shared.value:
+                size, bits = shared.value[int(k)]
+                rows = order[bounds[k] : bounds[k + 1]]
+                out[rows] = in_filter(hashes[rows], size, np.frombuffer(bits, np.uint8))
+        return out
+
+    def cut(batches, slim=False):
+        for batch in batches:
+            for block in blocks(texts_of(batch)):
+                found = lines_of(block)
+                if shared is not None:
+                    keep = suspected(found.hash)
+                    found = Lines(*(x[keep] for x in found))
+                at = pa.array(found.text + block.first)
+                raw = block.data.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(at), batch.column(1).take(at), pa.array(found.pos.astype(np.int32)), pa.array(found.hash),
+                        pa.array(_shard(found.hash, shards).astype(np.int32)) if slim else pa.array([raw[a:b] for a, b in zip(found.start.tolist(), found.end.tolist(), strict=True)], pa.binary()).cast(pa.string()),
+                    ], ["doc_id", "row", "pos", "h", "shard" if slim else "line"],
+                )
+
+    lines = _rows(docs).mapInArrow(cut, f"doc_id {kind}, row long, pos int, h long, line string")
+    if shared is not None:
+        return lines
 
     def look_up(left, right):
         if not len(left) or not len(right):
             return left.iloc[:0][["row", "pos", "h"]]
         return left[in_filter(left["h"].to_numpy(), int(right["size"][0]), np.frombuffer(right["bits"][0], np.uint8))][["row", "pos", "h"]]
 
-    slim = lines.select("row", "pos", "h").withColumn("shard", shard_of("h"))
+    slim = _rows(docs).mapInArrow(lambda batches: cut(batches, slim=True), f"doc_id {kind}, row long, pos int, h long, shard int").select("row", "pos", "h", "shard")
     found = slim.groupBy("shard").cogroup(built.groupBy("shard")).applyInPandas(look_up, "row long, pos int, h long").distinct()
     return lines.join(found, ["row", "pos", "h"], "left_semi").select(*lines.columns)
 
