@@ -39,7 +39,7 @@ def walk(edges: DataFrame, seeds: DataFrame, direction: str = "downstream", dept
     Nodes of ``stop`` (id) are found but not walked through. Extra columns of seeds are keys: each key has its own walk.
     """
     keys = [c for c in seeds.columns if c != "id"]
-    steps = _directed(edges, direction)
+    steps = cut(_directed(edges, direction).select("src", "dst").distinct())  # computed once, not in each round
     visited = frontier = cut(seeds.distinct().withColumn("hops", F.lit(0)))
     done = 0
     while depth is None or done < depth:
@@ -58,7 +58,7 @@ def impact(elements: DataFrame, edges: DataFrame, changed: DataFrame, depth: int
 
     The reason of a direct dependant is ``relation → changed name``; farther ones chain over their dependency of least id.
     """
-    graph = simple_graph(edges)
+    graph = cut(simple_graph(edges))
     names = elements.select("id", "name")
     visited = cut(changed.select("id").distinct())
     frontier = cut(visited.join(names, "id").select("id", "name", F.lit("").alias("reason")))
@@ -116,23 +116,25 @@ def dependencies(elements: DataFrame, edges: DataFrame, wanted: str, direction:
     return found.distinct().join(elements.select("id", "name"), "id", "left").select("direction", "rel_type", "id", "name")
 
 
-def shortest_path(elements: DataFrame, edges: DataFrame, start: str, end: str, max_depth: int = 6) -> DataFrame:
-    """At most one row: the path of least hops, then least ids, from an element that start names to one that end names."""
-    named = lambda x: elements.where((F.lower("name") == x.lower()) | (F.lower("id") == x.lower()))
-    goals = named(end).select("id")
-    steps = _directed(simple_graph(edges), "downstream")
-    frontier = cut(named(start).select("id", F.array("id").alias("path")))
+def ids_named(elements: DataFrame, text: str) -> DataFrame:
+    """id of the elements that have this name or id, without case."""
+    return elements.where((F.lower("name") == text.lower()) | (F.lower("id") == text.lower())).select("id")
+
+
+def shortest_path(elements: DataFrame, edges: DataFrame, starts: DataFrame, goals: DataFrame, max_depth: int = 6) -> DataFrame:
+    """At most one row (hops, path, names): the path of least hops, then least ids, from any start (id) to any goal (id)."""
+    steps = cut(_directed(simple_graph(edges), "downstream").select("src", "dst"))
+    frontier = cut(starts.select("id", F.array("id").alias("path")))
     visited = frontier.select("id")
-    for _ in range(max_depth + 1):
-        hit = frontier.join(goals, "id", "left_semi").orderBy("path").limit(1)
-        if not hit.isEmpty():
+    for _ in range(max_depth):
+        if not frontier.join(goals, "id", "left_semi").isEmpty():
             break
         found = frontier.join(steps, frontier["id"] == steps["src"]).select(F.col("dst").alias("id"), F.array_append("path", F.col("dst")).alias("path"))
-        frontier = cut(found.join(visited, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
-        if frontier.isEmpty():
+        further = cut(found.join(visited, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path")))
+        if further.isEmpty():
             break
-        visited = cut(visited.unionByName(frontier.select("id")))
-    hit = frontier.join(goals, "id", "left_semi").orderBy("path").limit(1)
+        frontier, visited = further, visited.unionByName(further.select("id"))
+    hit = cut(frontier.join(goals, "id", "left_semi").orderBy("path").limit(1))
     nodes = hit.select(F.posexplode("path").alias("pos", "id")).join(elements.select("id", "name"), "id")
     named_path = nodes.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda s: s["name"]), " -> ").alias("names"))
     return hit.select((F.size("path") - 1).alias("hops"), F.array_join("path", " -> ").alias("path")).crossJoin(named_path)
@@ -221,7 +223,7 @@ def traces(elements: DataFrame, edges: DataFrame, max_depth: int = 6, max_traces
     """
     kinds = elements.select("id", "stereotype", "language")
     steps = edges.where(F.col("rel_type").isin(TRACE_RELS)).select(F.col("source_id").alias("src"), F.col("target_id").alias("dst")).distinct()
-    steps = steps.join(kinds.select(F.col("id").alias("dst"), "stereotype"), "dst").select("src", "dst", F.col("stereotype").isin(DATA).alias("data"), (F.lit(through_repositories) & (F.col("stereotype") == "Repository")).alias("open"))
+    steps = cut(steps.join(kinds.select(F.col("id").alias("dst"), "stereotype"), "dst").select("src", "dst", F.col("stereotype").isin(DATA).alias("data"), (F.lit(through_repositories) & (F.col("stereotype") == "Repository")).alias("open")))
     frontier = cut(kinds.where(F.col("stereotype").isin(TRACE_ENTRY)).select(F.col("id").alias("entry_id"), "id", F.array("id").alias("path")))
     visited = frontier.select("entry_id", "id")
     ended = []
@@ -281,7 +283,7 @@ def strangler(elements: DataFrame, edges: DataFrame, seeds: DataFrame, budget: i
 
 def related_tables(elements: DataFrame, edges: DataFrame, entries: DataFrame, depth: int = 4, enough: int = 8) -> DataFrame:
     """entry_id and tables: distinct table names by hop and name, found level by level until ``enough`` or ``depth``."""
-    steps = _directed(edges, "downstream").select("src", "dst").distinct()
+    steps = cut(_directed(edges, "downstream").select("src", "dst").distinct())
     tables = elements.where("stereotype = 'Entity' OR language IN ('db2', 'dataset')").select("id", F.coalesce("table_name", "name").alias("table_name"))
     frontier = visited = cut(entries.select(F.col("id").alias("entry_id"), "id").distinct())
     found = None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph, model, relational
+from . import graph, model, questions, relational, sources
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph", "model", "relational"]
+__all__ = ["ORACLES", "QUERIES", "graph", "model", "questions", "relational", "sources"]

@@ -106,11 +106,7 @@ SELECT len(path)::INT - 1 AS hops, array_to_string(path, ' -> ') AS path,
 )
 def shortest_path(spark, d):
     e = lens.elements(spark, d)
-    found = None
-    for k in range(5):  # to the nearest region
-        one = graph.shortest_path(e, lens.relationships(spark, d), "orders:1", f"region:{k}")
-        found = one if found is None else found.unionByName(one)
-    return found.orderBy("hops", "path").limit(1)
+    return graph.shortest_path(e, lens.relationships(spark, d), ids(spark, "orders:1"), e.where("id LIKE 'region:%'").select("id"))
 
 
 @query(
@@ -223,10 +219,10 @@ def trace_kinds(spark, d):
 @query(
     "G16_unreachable",
     f"""{L}, w(id) AS (SELECT id FROM elements WHERE stereotype IN ('Controller', 'Gateway', 'Batch Job', 'UI Component', 'Worker') UNION SELECT target_id FROM w JOIN rels ON source_id = id)
-SELECT id, name, stereotype FROM elements WHERE stereotype NOT IN ('Entity', 'Shared Data', 'Configuration') AND id NOT IN (FROM w)""",
+SELECT id, name, stereotype FROM elements WHERE stereotype NOT IN ('Entity', 'Shared Data', 'Configuration') AND id NOT IN (FROM w)""".replace("JOIN rels ON", "JOIN (FROM rels WHERE rel_type <> 'injects') ON"),
 )
 def unreachable(spark, d):
-    return graph.unreachable(lens.elements(spark, d), lens.relationships(spark, d))
+    return graph.unreachable(lens.elements(spark, d), lens.relationships(spark, d).where("rel_type <> 'injects'"))
 
 
 _DEG = f"{L}, d AS (SELECT id, count(*) AS degree FROM (SELECT source_id AS id FROM rels UNION ALL SELECT target_id FROM rels) GROUP BY id)"
@@ -237,9 +233,9 @@ def hotspots(spark, d):
     return graph.hotspots(lens.elements(spark, d), lens.relationships(spark, d))
 
 
-@query("G17_isolated", f"{_DEG} SELECT id, name, stereotype FROM elements WHERE id NOT IN (SELECT id FROM d) AND stereotype NOT IN ('Controller', 'Gateway', 'Batch Job', 'UI Component', 'Worker')")
+@query("G17_isolated", f"{_DEG.replace('FROM rels', 'FROM (FROM rels WHERE rel_type <> $$injects$$)')} SELECT id, name, stereotype FROM elements WHERE id NOT IN (SELECT id FROM d) AND stereotype NOT IN ('Controller', 'Gateway', 'Batch Job', 'UI Component', 'Worker')")
 def isolated(spark, d):
-    return graph.isolated(lens.elements(spark, d), lens.relationships(spark, d))
+    return graph.isolated(lens.elements(spark, d), lens.relationships(spark, d).where("rel_type <> 'injects'"))
 
 
 @query(
