@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph, model, questions, relational, sources
+from . import graph, model, overlays, questions, relational, sources, streams
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph", "model", "questions", "relational", "sources"]
+__all__ = ["ORACLES", "QUERIES", "graph", "model", "overlays", "questions", "relational", "sources", "streams"]
