@@ -94,9 +94,13 @@ def resolve_names(edges: DataFrame, elements: DataFrame) -> DataFrame:
     marked = edges.join(ids, "target_id", "left").join(source, "source_id", "left")
     direct = marked.where("known").select("source_id", "target_id", "rel_type", F.lit(False).alias("resolved"))
     open_ = marked.where("known IS NULL").withColumn("last", F.element_at(F.split("target_id", r"\."), -1))
-    candidates = elements.select(F.col("name").alias("last"), F.col("id").alias("found"), "language", "ord")
-    best = open_.join(candidates, "last").groupBy("source_id", "target_id", "rel_type").agg(F.min(F.struct((~F.col("language").eqNullSafe(F.col("source_language"))).alias("other"), "ord", "found")).alias("b"))
-    return direct.unionByName(best.select("source_id", F.col("b.found").alias("target_id"), "rel_type", F.lit(True).alias("resolved"))).distinct()
+    # One candidate for each name and language, and one for each name: edges meet at most one row of either, however
+    # many elements share a name.
+    by_language = elements.groupBy(F.col("name").alias("last"), F.col("language").alias("source_language")).agg(F.min(F.struct("ord", "id")).alias("own"))
+    by_name = elements.groupBy(F.col("name").alias("last")).agg(F.min(F.struct("ord", "id")).alias("any"))
+    best = open_.join(by_language, ["last", "source_language"], "left").join(by_name, "last")
+    found = best.select("source_id", F.coalesce("own.id", "any.id").alias("target_id"), "rel_type", F.lit(True).alias("resolved"))
+    return direct.unionByName(found).distinct()
 
 
 def naming_edges(elements: DataFrame) -> DataFrame:
