@@ -9,7 +9,8 @@ from ..functions import names as N
 from ..schema import ENTRY
 from .relational import with_container
 
-_NO_TEXTS = F.array().cast("array<string>")
+def _no_texts() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _ordered_union(column: str, order: str) -> Column:
@@ -115,8 +116,8 @@ def schema_drift(tables: DataFrame, entities: DataFrame) -> DataFrame:
     both = a.join(b, "key", "full_outer")
     low = lambda c: F.transform(c, F.lower)
     compare = (F.size("s.columns") > 0) & (F.size("m.columns") > 0)
-    missing = F.when(compare, F.array_sort(F.array_except(low("s.columns"), low("m.columns")))).otherwise(_NO_TEXTS)
-    extra = F.when(compare, F.array_sort(F.array_except(low("m.columns"), low("s.columns")))).otherwise(_NO_TEXTS)
+    missing = F.when(compare, F.array_sort(F.array_except(low("s.columns"), low("m.columns")))).otherwise(_no_texts())
+    extra = F.when(compare, F.array_sort(F.array_except(low("m.columns"), low("s.columns")))).otherwise(_no_texts())
     status = F.when(F.col("m").isNull(), "schema_only").when(F.col("s").isNull(), "model_only").otherwise("columns")
     out = both.select(F.coalesce("s.name", "m.name").alias("name"), status.alias("status"), F.array_join(missing, ",").alias("not_in_model"), F.array_join(extra, ",").alias("not_in_schema"))
     return out.where("status <> 'columns' OR not_in_model <> '' OR not_in_schema <> ''")
@@ -169,7 +170,7 @@ def apply_intents(elements: DataFrame, overrides: dict[str, str], owners: dict[s
     by = lambda table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col("name")] if table else F.lit(None).cast("string")
     within = [F.when((N.matches_any(F.col("file_path"), inc) if inc else F.lit(True)) & ~N.matches_any(F.col("file_path"), exc), F.lit(name)) for name, (inc, exc) in boundaries.items()]
     on = [F.when(F.col("name").isin(names), F.lit(path)) for path, names in critical.items()]
-    some = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull()) if xs else _NO_TEXTS
+    some = lambda xs: F.filter(F.array(*xs), lambda x: x.isNotNull()) if xs else _no_texts()
     return elements.withColumns({"stereotype": F.coalesce(by(overrides), "stereotype"), "owner": by(owners), "domains": some(within), "critical_paths": some(on)})
 
 
@@ -228,7 +229,7 @@ def endpoints(files: DataFrame) -> DataFrame:
         if "([^" in rx:
             topics = F.regexp_extract_all("text", F.lit(f"(?i){rx}"), F.lit(1))
         else:
-            topics = F.when(F.col("text").rlike(f"(?i){rx}"), F.array(F.lit(f"{tech.lower()}-unknown"))).otherwise(_NO_TEXTS)
+            topics = F.when(F.col("text").rlike(f"(?i){rx}"), F.array(F.lit(f"{tech.lower()}-unknown"))).otherwise(_no_texts())
         found.append(F.transform(topics, told(role, tech)))
     return files.select(F.col("path").alias("file_path"), F.explode(F.concat(*found)).alias("e")).select("file_path", "e.*").distinct()
 
