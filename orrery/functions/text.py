@@ -47,7 +47,7 @@ def doc_comments(text: Column, limit: int = 4) -> Column:
 def candidate_rules(text: Column, language: Column, limit: int = 12) -> Column:
     """Conditions that may be business rules: IF, EVALUATE and WHEN of COBOL, telling if-conditions elsewhere."""
     host = F.concat(*[F.regexp_extract_all(text, F.lit(rf"(?im)\b{verb}\s+(.{{3,90}}?)(?:\s+THEN)?\s*$"), F.lit(1)) for verb in ("IF", "EVALUATE", "WHEN")])
-    other = F.filter(F.regexp_extract_all(text, F.lit(r"(?i)\bif\s*\((.{3,90})\)"), F.lit(1)), lambda c: c.rlike(r"(?i)null|isEmpty|status|valid|amount|==|!="))
+    other = F.filter(F.regexp_extract_all(text, F.lit(r"(?i)\bif\s*\(((?:[^()\n]|\([^()\n]*\)){3,90})\)"), F.lit(1)), lambda c: c.rlike(r"(?i)null|isEmpty|status|valid|amount|==|!="))
     return F.slice(F.array_distinct(F.transform(F.when(language == "cobol", host).otherwise(other), lambda x: F.trim(x))), 1, limit)
 
 
