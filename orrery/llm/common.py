@@ -41,7 +41,16 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read back: lineage ends there and survives lost executors."""
     path = f"{scratch(df.sparkSession)}/orrery-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.__dict__["stored_at"] = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a :func:`stored` table that nothing will read again."""
+    jvm = df.sparkSession.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(df.__dict__["stored_at"])
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def labelled_sample(ids: DataFrame, texts: DataFrame, bound: int) -> DataFrame:
@@ -54,7 +63,7 @@ def labelled_sample(ids: DataFrame, texts: DataFrame, bound: int) -> DataFrame:
     return texts.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-# ---------------------------------------------------------------- bytes and words of Arrow text
+# -- bytes and words of Arrow text
 
 #: Byte classes: 0 separator, 1 word byte (letters, digits and every byte of a non-ASCII character), 2 other visible.
 CLASS = np.zeros(256, np.uint8)

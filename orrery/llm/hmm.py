@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, scratch, stored, table, texts_of, tokens
+from .common import blocks, forget, mix, scratch, stored, table, texts_of, tokens
 
 STATES = 4
 ITERATIONS = 2
@@ -367,9 +367,9 @@ def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS)
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunks = _bucketed(encoded(docs))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(chunks.agg(F.sum("n_words")).first()[0] or 0) // SHARD_WORDS))
-    answers = stored(_answered(_counted(chunks, shards), states, plain=True))
-    found = _summed(answers, "chunk = -1", 2 + 2 * states)
-    answers = answers.where("chunk >= 0")
+    last = stored(_answered(_counted(chunks, shards), states, plain=True))
+    found = _summed(last, "chunk = -1", 2 + 2 * states)
+    answers = last.where("chunk >= 0")
     start, move = initial(states)
     model = Model(start, move, found[2 : 2 + states] + found[2 + states :], found[2 : 2 + states], int(found[0]) + 1)
     for _ in range(iterations):
@@ -377,7 +377,8 @@ def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS)
         found = _summed(counted, "shard = -1", states * states + 3 * states + 1)
         moves, (starts, total, unknown) = found[: states * states].reshape(states, states), found[states * states : -1].reshape(3, states)
         model = Model((starts + 1e-3) / (starts.sum() + states * 1e-3), (moves + 1e-3) / (moves.sum(axis=1, keepdims=True) + states * 1e-3), total, unknown, model.vocabulary)
-        answers = _answered(counted.where("shard >= 0"), states, plain=False)
+        forget(last)  # the round after it is in the shared folder as well
+        last, answers = counted, _answered(counted.where("shard >= 0"), states, plain=False)
     return _scored(chunks, answers, model, kind)
 
 
