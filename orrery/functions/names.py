@@ -8,6 +8,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Decorators that make a function a route.
+ROUTES = "api_route delete get head options patch post put".split()
+_CODE_ROOTS = ["", ".", *"app java lib main src".split()]
+_DOMAIN_ROOTS = "apps domain domains modules packages services".split()
+_PARAMETER = ":[A-Za-z_]" + "[A-Za-z0-9_]*"
 #: Suffixes by the stereotype they tell, in the order in which they are tried.
 SUFFIXES = [tuple(x.split(":")) for x in "ServiceImpl:Service Controller:Controller Repository:Repository Repo:Repository Service:Service Gateway:Gateway Client:Gateway Middleware:Middleware Interceptor:Middleware Filter:Middleware Config:Configuration Configuration:Configuration Entity:Entity Model:Entity Worker:Worker Handler:Controller Router:Controller Component:UI_Component".split()]
 FOLDERS = {d: s.replace("_", " ") for s, names in {
@@ -17,7 +22,7 @@ FOLDERS = {d: s.replace("_", " ") for s, names in {
 ANNOTATIONS = {
     "java": "RestController:Controller Controller:Controller Service:Service Repository:Repository Entity:Entity Component:Component Configuration:Configuration Bean:Configuration FeignClient:Gateway Aspect:Middleware ControllerAdvice:Middleware",
     "typescript": "Controller:Controller Injectable:Service Entity:Entity Component:UI_Component Module:Configuration NgModule:Configuration Middleware:Middleware Guard:Middleware Interceptor:Middleware Pipe:Component",
-    "python": "dataclass:Entity service:Service repository:Repository component:Component route:Controller router:Controller " + " ".join(f"{m}:Controller" for m in sorted({"get", "post", "put", "patch", "delete", "head", "options", "api_route"})),
+    "python": "dataclass:Entity service:Service repository:Repository component:Component route:Controller router:Controller " + " ".join(f"{m}:Controller" for m in ROUTES),
 }
 #: What a supertype tells, tried in this order.
 BASES = [(r"\w*Repository\b", "Repository"), (r"(^|\.)(Pure)?Component\b", "UI Component"), (r"\b(APIView|ViewSet|GenericAPIView)\b", "Controller"), (r"\b(BaseHTTPMiddleware|MiddlewareMixin)\b", "Middleware"), (r"\b(BaseModel|Model|PO|I_Persistent)\b", "Entity"), (r"(^|\.)[IX]_[A-Z]?\w*$", "Entity")]
@@ -50,8 +55,8 @@ def guess_title(name: Column, stereotype: Column) -> Column:
 
 def package_token(file_path: Column, language: Column) -> Column:
     """The part of a path that names its domain."""
-    parts = F.filter(F.split(F.replace(file_path, F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin("", ".", "src", "main", "java", "app", "lib"))
-    at = F.filter(F.transform(parts, lambda p, i: F.when(F.lower(p).isin("domain", "domains", "modules", "services", "packages", "apps"), i)), lambda i: i.isNotNull())
+    parts = F.filter(F.split(F.replace(file_path, F.lit("\\"), F.lit("/")), "/"), lambda p: ~p.isin(_CODE_ROOTS))
+    at = F.filter(F.transform(parts, lambda p, i: F.when(F.lower(p).isin(_DOMAIN_ROOTS), i)), lambda i: i.isNotNull())
     after = F.replace(F.get(parts, F.get(at, F.lit(0)) + 1), F.lit("-"), F.lit("_"))
     java = F.when(language == "java", F.nullif(F.regexp_extract(F.concat(F.lit("/"), file_path), r"/(?:com|org|net)/\w+/(\w+)/", 1), F.lit("")))
     first = F.get(parts, F.lit(0))
@@ -69,11 +74,11 @@ def url_path(url: Column) -> Column:
 def path_pattern(template: Column) -> Column:
     """The whole-string pattern of a path template: {name} and :name stand for one segment."""
     plain = F.regexp_replace(template, r"([.+*?^$()\[\]|\\])", r"\\$1")
-    return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(plain, r"\{[^}]+\}", "[^/]+"), ":[A-Za-z_][A-Za-z0-9_]*", "[^/]+"), F.lit("$"))
+    return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(plain, r"\{[^}]+\}", "[^/]+"), _PARAMETER, "[^/]+"), F.lit("$"))
 
 
 def paths_match(call: Column, template: Column) -> Column:
-    flat = lambda c: F.regexp_replace(F.regexp_replace(c, r"\{[^}]+\}", "X"), ":[A-Za-z_][A-Za-z0-9_]*", "X")
+    flat = lambda c: F.regexp_replace(F.regexp_replace(c, r"\{[^}]+\}", "X"), _PARAMETER, "X")
     return (call == template) | (flat(call) == flat(template)) | F.rlike(call, path_pattern(template))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
-from ..schema import ENTRY
+from ..schema import ENTRY, MAPPED
 from .relational import with_container
 
 def _no_texts() -> Column:
@@ -31,7 +31,7 @@ def canonical(name: Column, aliases: dict[str, str], same_as: dict[str, list[str
 
 
 def entity_score(name: Column) -> Column:
-    mapped = F.col("kind").isin("db2_table", "po", "jpa", "typeorm", "sqlalchemy", "dclgen")
+    mapped = F.col("kind").isin(MAPPED)
     size = 2 * F.size("columns") + F.size("fk_columns")
     return size + F.when(name.startswith("I_"), 1000).otherwise(0) + F.when(F.col("table_name").isNotNull(), 50).otherwise(0) + F.when(mapped, 25).otherwise(0)
 
@@ -75,7 +75,7 @@ def widest(entities: DataFrame, top: int = 15) -> DataFrame:
     return entities.select("canonical", n).orderBy(F.desc("n_columns"), F.lower("canonical")).limit(top)
 
 
-# ---------------------------------------------------------------- schema files
+# -- schema files
 
 
 def ddl_tables(files: DataFrame, compat: bool = False) -> DataFrame:
@@ -123,7 +123,7 @@ def schema_drift(tables: DataFrame, entities: DataFrame) -> DataFrame:
     return out.where("status <> 'columns' OR not_in_model <> '' OR not_in_schema <> ''")
 
 
-# ---------------------------------------------------------------- domains and capabilities
+# -- domains and capabilities
 
 
 def domains(elements: DataFrame, min_size: int = 2) -> DataFrame:
@@ -162,7 +162,7 @@ def merged_capabilities(existing: DataFrame, found: DataFrame) -> DataFrame:
     return every.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 
-# ---------------------------------------------------------------- intents
+# -- intents
 
 
 def apply_intents(elements: DataFrame, overrides: dict[str, str], owners: dict[str, str], boundaries: dict[str, tuple[list[str], list[str]]], critical: dict[str, list[str]]) -> DataFrame:
@@ -198,16 +198,23 @@ def path_edges(paths: DataFrame) -> DataFrame:
     return each.withColumn("target_name", nxt).where("target_name IS NOT NULL").select("path", "source_name", "target_name", F.lit("composes").alias("rel_type"))
 
 
-# ---------------------------------------------------------------- topics and contracts
+# -- topics and contracts
 
 _Q = "[\"']"
+
+
+def _given(call: str, key: str) -> str:
+    """The pattern of a call or annotation with a named text argument."""
+    return rf"{call}\s*\((?:[^)]*?\b)?{key}\s*=\s*\{{?\s*{_Q}([^\"']+)"
+
+
 #: role, technology, pattern; the first group is the topic, patterns without one tell only the technology.
 ENDPOINTS = [
     ("producer", "Kafka", rf"kafkaTemplate\.send\s*\(\s*{_Q}([^\"']+)"), ("producer", "Kafka", rf"\bproducer\.send\s*\(\s*{_Q}([^\"']+)"), ("producer", "Kafka", rf"client\.emit\s*\(\s*{_Q}([^\"']+)"),
-    ("consumer", "Kafka", rf"@KafkaListener\s*\([^)]*topics\s*=\s*\{{?\s*{_Q}([^\"']+)"), ("consumer", "Kafka", rf"consumer\.subscribe\s*\(\s*\[\s*{_Q}([^\"']+)"), ("consumer", "Kafka", rf"@EventPattern\s*\(\s*{_Q}([^\"']+)"),
+    ("consumer", "Kafka", _given("@KafkaListener", "topics")), ("consumer", "Kafka", rf"consumer\.subscribe\s*\(\s*\[\s*{_Q}([^\"']+)"), ("consumer", "Kafka", rf"@EventPattern\s*\(\s*{_Q}([^\"']+)"),
     ("producer", "Kafka", r"\bAIOKafkaProducer|(?<!AIO)KafkaProducer"), ("consumer", "Kafka", r"\bAIOKafkaConsumer|(?<!AIO)KafkaConsumer"),
-    ("consumer", "RabbitMQ", rf"@RabbitListener\s*\([^)]*queues\s*=\s*{_Q}([^\"']+)"), ("producer", "RabbitMQ", rf"convertAndSend\s*\(\s*{_Q}([^\"']+)"), ("producer", "RabbitMQ", rf"basic_publish\s*\([^)]*routing_key\s*=\s*{_Q}([^\"']+)"), ("producer", "RabbitMQ", r"\baio_pika|pika\.BlockingConnection"),
-    ("producer", "SQS", rf"send_message\s*\([^)]*QueueUrl\s*=\s*{_Q}([^\"']+)"), ("consumer", "SQS", rf"receive_message\s*\([^)]*QueueUrl\s*=\s*{_Q}([^\"']+)"), ("consumer", "SQS", rf"@SqsListener\s*\(\s*{_Q}([^\"']+)"), ("producer", "SQS", rf"boto3\.client\s*\(\s*{_Q}sqs"),
+    ("consumer", "RabbitMQ", _given("@RabbitListener", "queues")), ("producer", "RabbitMQ", rf"convertAndSend\s*\(\s*{_Q}([^\"']+)"), ("producer", "RabbitMQ", _given("basic_publish", "routing_key")), ("producer", "RabbitMQ", r"\baio_pika|pika\.BlockingConnection"),
+    ("producer", "SQS", _given("send_message", "QueueUrl")), ("consumer", "SQS", _given("receive_message", "QueueUrl")), ("consumer", "SQS", rf"@SqsListener\s*\(\s*{_Q}([^\"']+)"), ("producer", "SQS", rf"boto3\.client\s*\(\s*{_Q}sqs"),
     ("consumer", "NATS/RMQ", rf"@MessagePattern\s*\(\s*{_Q}([^\"']+)"),
 ]
 METHODS = "(get|post|put|patch|delete)"
@@ -261,7 +268,7 @@ def operations(specs: DataFrame) -> DataFrame:
     """service, method and path of every operation of OpenAPI documents in JSON (service, text); malformed ones have none."""
     paths = F.from_json("text", "struct<paths: map<string, map<string, string>>>")["paths"]
     each = specs.select("service", F.explode(paths).alias("path", "ops"))
-    verbs = each.select("service", "path", F.explode(F.map_keys("ops")).alias("method")).where(F.lower("method").isin("get", "post", "put", "patch", "delete", "head", "options"))
+    verbs = each.select("service", "path", F.explode(F.map_keys("ops")).alias("method")).where(F.lower("method").isin([r for r in N.ROUTES if r != "api_route"]))
     return verbs.select("service", F.upper("method").alias("method"), N.url_path(F.col("path")).alias("path"))
 
 

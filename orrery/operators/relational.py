@@ -83,7 +83,7 @@ def dependency_table(elements: DataFrame, edges: DataFrame, stereotypes: list[st
     return found.select("id", "name", "stereotype", F.array_join(F.slice("t", 1, width), ",").alias("depends_on"))
 
 
-# ---------------------------------------------------------------- resolution
+# -- resolution
 
 
 def resolve_names(edges: DataFrame, elements: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def merged(elements: DataFrame, richness: Column) -> DataFrame:
     return elements.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
 
 
-# ---------------------------------------------------------------- differences
+# -- differences
 
 
 def difference(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -79,7 +79,7 @@ def f8(s, d):
     return E(s, d).where("stereotype = 'Entity'").select("name").distinct().withColumn("canonical", M.canonical(F.col("name"), ALIASES, SAME))
 
 
-# ---------------------------------------------------------------- schema files made from the parts
+# -- schema files made from the parts
 
 
 def _ddl(s, d):
@@ -133,7 +133,7 @@ def j12(s, d):
     return M.schema_drift(M.merged_tables(_schema(s, d)), M.cdm_entities(e, ALIASES, SAME))
 
 
-# ---------------------------------------------------------------- domains, capabilities, intents
+# -- domains, capabilities, intents
 
 _TOKEN = """CASE WHEN file_path LIKE 'services/%' THEN split_part(file_path, '/', 2) WHEN language = 'java' AND regexp_matches(file_path, '/com/[^/]+/[^/]+/') THEN regexp_extract(file_path, '/com/[^/]+/([^/]+)/', 1) ELSE split_part(file_path, '/', 1) END"""
 
@@ -217,7 +217,7 @@ def g21(s, d):
     return M.path_edges(_paths(s))
 
 
-# ---------------------------------------------------------------- topics and contracts
+# -- topics and contracts
 
 _ENDS = "ends AS (SELECT DISTINCT 'user_' || user_id || '.py' AS file_path, CASE WHEN value >= 200 THEN 'producer' ELSE 'consumer' END AS role, 'Kafka' AS technology, event_type AS topic FROM events)"
 

@@ -142,7 +142,7 @@ def w1(s, d):
     return R.diagram_edges(E(s, d), R_(s, d), lookup("stereotype", WEIGHT, 1.0))
 
 
-# ---------------------------------------------------------------- resolution
+# -- resolution
 
 
 @query(
@@ -218,7 +218,7 @@ def w4(s, d):
     return R.merged(twice, F.col("rich")).select("id", "name")
 
 
-# ---------------------------------------------------------------- differences between two years
+# -- differences between two years
 
 _DIFF = f"""{L}, a AS (SELECT * FROM elements WHERE since IS NULL OR since <= 1998),
 b AS (SELECT * REPLACE (CASE WHEN ord % 7 = 0 AND since IS NOT NULL THEN 'Worker' ELSE stereotype END AS stereotype, CASE WHEN ord % 13 = 0 THEN 'moved/' || file_path ELSE file_path END AS file_path)
@@ -286,7 +286,7 @@ def a16(s, d):
     return R.counted(_repos(s, d)[0], "source_slug")
 
 
-# ---------------------------------------------------------------- snapshots: one for each year of orders
+# -- snapshots: one for each year of orders
 
 _SNAPSHOTS = "SELECT 'snap-' || year(o_orderdate) AS snapshot_id, max(o_orderdate) AS ts, count(*) AS n_orders FROM orders GROUP BY year(o_orderdate)"
 

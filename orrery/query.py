@@ -23,8 +23,8 @@ PATTERNS = [
     ("downstream", [rf"what does {_WORD} (?:depend on|use|call)", rf"dependencies of {_WORD}"]),
     ("cite", [rf"where is {_WORD}", rf"find file (?:for )?{_WORD}", rf"\bcite {_WORD}"]),
     ("path", [rf"(?:show|trace|path)\b.{{0,20}}?\bfrom {_WORD} (?:to|→|->) {_WORD}", rf"how does {_WORD} (?:reach|get to) {_WORD}", rf"(?:trace|path) {_WORD} (?:to|→|->) {_WORD}"]),
-    ("stereotype", [r"(?:show|list|find) (?:all )?([a-z ]+?)\s*\??$", r"how many ([a-z ]+?)(?: are there)?\s*\??$"]),
-    ("group", [r"how is (?:the )?(?:project|system|architecture) structured", r"group by (?:stereotype|layer)", r"\b(?:overview|summary)\b"]),
+    ("stereotype", [r"(?:find|list|show) (?:all |the )?([a-z ]+?)\s*\??$", r"how many ([a-z ]+?)(?: are there)?\s*\??$"]),
+    ("group", [r"\b(?:overview|summary)\b", r"group by (?:layer|stereotype)", r"how is (?:the )?(?:architecture|project|system) (?:built|structured)"]),
 ]
 _VERB = re.compile(r"\b(depend|depends|use|uses|call|calls|impact|affect)\w*\b")
 
@@ -63,7 +63,7 @@ def parse(question: str) -> Spec | None:
     return None
 
 
-def structured(elements: DataFrame, edges: DataFrame, *, stereotype: str | None = None, element: str | None = None, direction: str = "both", group_by: str | None = None, question: str | None = None) -> DataFrame:
+def structured(elements: DataFrame, edges: DataFrame, *, question: str | None = None, group_by: str | None = None, stereotype: str | None = None, element: str | None = None, direction: str = "both") -> DataFrame:
     """Question (only without other arguments), then grouping, stereotype, element; all elements otherwise."""
     if question and not (stereotype or element or group_by):
         return ask(elements, edges, question)

@@ -18,6 +18,8 @@ def _spread(groups: dict) -> dict[str, float]:
 
 
 WEIGHT, LAYER, READ_RANK = _spread(WEIGHTS), _spread(LAYERS), _spread(READING)
+#: Kinds of elements that are mapped to a table.
+MAPPED = "db2_table dclgen jpa po sqlalchemy typeorm".split()
 CRITICAL = ["Controller", "Gateway", "Configuration"]
 ENTRY = ["Batch Job", "Controller", "Gateway", "UI Component", "Worker"]
 TRACE_ENTRY = ["Batch Job", "Controller", "Gateway", "UI Component"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +27,8 @@ def source_tree(spark: SparkSession, root: str, include: list[str] | None = None
 
 def braces(pattern: str) -> list[str]:
     """A glob with {a,b} as the globs it stands for."""
-    if "{" not in pattern or "}" not in pattern:
-        return [pattern]
-    head, rest = pattern.split("{", 1)
-    inner, tail = rest.split("}", 1)
-    return [x for choice in inner.split(",") for x in braces(head + choice + tail)]
+    m = re.fullmatch(r"([^{}]*)\{([^{}]*)\}(.*)", pattern)
+    return [m[1] + choice + rest for choice in m[2].split(",") for rest in braces(m[3])] if m else [pattern]
 
 
 def matching(files: DataFrame, globs: list[str]) -> DataFrame:
