@@ -6,7 +6,9 @@ frac(i * 0.618...), which falls into one source's share of the cumulated weights
 r-th block, so that every stretch of the schedule has the sources in their target proportions.
 
 The schedule ends where the first source would need more than ``max_epochs`` times its blocks; what other sources have
-beyond their share is left out. By default a source weighs the square root of its tokens.
+beyond their share is left out. With ``max_epochs`` None it ends where every source has had its last block: nothing is
+left out, and sources of fewer blocks than their share begin again from their first. By default a source weighs the
+square root of its tokens.
 
 The running token count of a source needs no single sorted pass: documents fall into 4096 ranges of their MD5, counts
 run inside a range, and the totals of ranges are cumulated. Tokens are runs of non-blank characters.
@@ -60,21 +62,31 @@ def _shares(placed: DataFrame, weights: dict[str, int] | None) -> DataFrame:
     return weighed.withColumn("hi", F.sum("weight").over(run)).withColumn("lo", F.col("hi") - F.col("weight"))
 
 
-def schedule(placed: DataFrame, weights: dict[str, int] | None = None, max_epochs: int = 1) -> DataFrame:
-    """slot, source, block and epoch for every slot that has a block."""
+def schedule(placed: DataFrame, weights: dict[str, int] | None = None, max_epochs: int | None = 1) -> DataFrame:
+    """slot, source, block and epoch for every slot that has a block; max_epochs None: until all blocks have had one."""
     shares = stored(_shares(placed, weights))
-    found = shares.agg(F.max("hi").alias("all")).crossJoin(shares).agg(
-        F.max("all"), F.min(F.floor(F.col("blocks") * F.lit(max_epochs) * F.col("all") / F.col("weight")).cast("long"))
-    ).first()
+    need = F.floor(F.col("blocks") * F.lit(max_epochs or 1) * F.col("all") / F.col("weight")).cast("long")
+    found = shares.agg(F.max("hi").alias("all")).crossJoin(shares).agg(F.max("all"), F.min(need), F.max(need), F.min("weight"), F.count("*")).first()
     total, slots = (found[0] or 0, found[1] or 0)
-    points = placed.sparkSession.range(slots).selectExpr("id AS slot", f"(id * {GOLDEN} - floor(id * {GOLDEN})) * {total} AS u")
-    taken = points.join(shares, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
     rank = F.row_number().over(Window.partitionBy("source").orderBy("slot")).cast("long") - 1
-    ranked = taken.withColumn("rank", rank).where(F.col("rank") < F.col("blocks") * F.lit(max_epochs))
-    return ranked.select("slot", "source", F.expr("rank % blocks").alias("block"), F.expr("rank div blocks").alias("epoch"))
 
+    def ranked(slots: int) -> DataFrame:
+        points = placed.sparkSession.range(slots).selectExpr("id AS slot", f"(id * {GOLDEN} - floor(id * {GOLDEN})) * {total} AS u")
+        return points.join(shares, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).withColumn("rank", rank)
 
-def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block_tokens: int = BLOCK_TOKENS, max_epochs: int = 1) -> DataFrame:
+    if max_epochs is None and total:
+        # The points of an interval differ from its share by a few: some slots more may be needed, or some fewer.
+        slots, ended = found[2], (0, None)
+        while ended[0] < found[4]:
+            ended = ranked(slots).where("rank = blocks - 1").agg(F.count("*"), F.max("slot")).first()
+            slots = ended[1] + 1 if ended[0] == found[4] else slots + -(-total // found[3])
+    taken = ranked(slots)
+    if max_epochs is not None:
+        taken = taken.where(F.col("rank") < F.col("blocks") * F.lit(max_epochs))
+    return taken.select("slot", "source", F.expr("rank % blocks").alias("block"), F.expr("rank div blocks").alias("epoch"))
+
+
+def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block_tokens: int = BLOCK_TOKENS, max_epochs: int | None = 1) -> DataFrame:
     """The scheduled documents: slot, block_offset (their order), doc_id, text, lang, source, block, epoch, n_tokens.
 
     ``weights``: integers by source; sources that aren't named get none.

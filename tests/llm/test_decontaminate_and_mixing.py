@@ -6,6 +6,7 @@ import re
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from orrery.llm import decontaminate as D
 from orrery.llm import mixing as M
 from orrery.llm.common import blocks
@@ -114,6 +115,26 @@ def test_schedule_against_brute_force(spark, weights):
         assert abs(share - 0.75) < 0.05 and not any(r["source"] == "s2" for r in got)
 
 
+def test_pipeline_mixing_leaves_nothing_out(spark):
+    """A source of one short document doesn't end the schedule: the other blocks all come, and its own come again."""
+    rows = [(i, words(i, 400), "en", f"s{i % 3 % 2}", 1) for i in range(300)] + [(1000, words(1000, 40), "en", "tiny", 1)]
+    got = corpus_pipeline.mix_sources(spark, frame(spark, rows), "").collect()
+    assert {r["doc_id"] for r in got} == {r[0] for r in rows}
+    tiny, others = [r for r in got if r["source"] == "tiny"], [r for r in got if r["source"] != "tiny"]
+    assert sorted(r["epoch"] for r in tiny) == list(range(len(tiny)))
+    assert len({(r["doc_id"], r["epoch"]) for r in others}) == len(others)
+    first = {(r["source"], r["block"]): r["slot"] for r in got if r["epoch"] == 0}
+    assert max(first.values()) == max(r["slot"] for r in got)
+
+
+@pytest.mark.parametrize("weights", [None, {"s0": 3, "s1": 1}])
+def test_whole_schedule_begins_as_the_short_one_does(spark, weights):
+    rows = [(i, words(i, 5 + i % 40), "en", f"s{i % 3}", 1) for i in range(300)]
+    short, whole = (M.mixed(frame(spark, rows), weights, block_tokens=50, max_epochs=k).collect() for k in (1, None))
+    assert {tuple(r) for r in short} <= {tuple(r) for r in whole}
+    assert {r["doc_id"] for r in whole} == {r[0] for r in rows if weights is None or r[3] in weights}
+
+
 def test_mixing_hard_rows(spark):
     rows = hard_rows()
     out = M.mixed(clashing(spark, rows), block_tokens=100)
