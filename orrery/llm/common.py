@@ -9,6 +9,7 @@ Conventions of all operators here:
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,12 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of plans that nothing refers to; else they stay until the driver's memory fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def labelled_sample(ids: DataFrame, texts: DataFrame, bound: int) -> DataFrame:
     """At most ``bound`` rows of ``ids`` (doc_id, label columns), the smallest by hash of doc_id, with their whole texts.
 

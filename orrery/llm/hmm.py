@@ -11,7 +11,9 @@ the corpus and are never on one machine: they lie in shards of the hash space.
    gives each state's own random tilt (from the word's hash).
 3. Baum-Welch: with the answers, a chunk knows the emission probabilities of its words. It runs the scaled
    forward-backward recursion and gives expected emission counts (to the shards) and a small row of expected
-   transitions and starts. ``ITERATIONS`` such rounds train the model.
+   transitions and starts. The query trains until the log-likelihood a word has gained less than ``TOLERANCE`` in two
+   rounds running, the later gain not being the greater: the near-even start gains little before the states part. A
+   round's files go once the next is stored. :func:`scored` makes ``ITERATIONS`` rounds unless told otherwise.
 4. Scoring: the scaled forward recursion gives each text's exact log-likelihood.
 
 The recursions are exact for texts of any length: segments of ``SEGMENT`` words run side by side as K x K products, which
@@ -27,6 +29,7 @@ result; the result has the columns doc_id, n_tokens, n_unknown, log_likelihood a
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from typing import NamedTuple
 
@@ -36,10 +39,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, forget, mix, scratch, stored, table, texts_of, tokens
+from .common import blocks, forget, forget_shuffles, mix, scratch, stored, table, texts_of, tokens
 
 STATES = 4
 ITERATIONS = 2
+#: Gain in log-likelihood a word, in nats, under which training has settled.
+TOLERANCE = 5e-4
 SMOOTHING = 1e-3
 CHUNK = 16 << 20
 SEGMENT = 64
@@ -361,8 +366,14 @@ def _summed(df: DataFrame, where: str, size: int) -> np.ndarray:
     return total
 
 
-def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS) -> DataFrame:
-    """The likelihood of every row of ``docs`` under a model trained on all of them."""
+def settled(logs: list[float], tolerance: float) -> bool:
+    """Whether the last two gains of a round's log-likelihood a word are under ``tolerance`` and don't grow."""
+    gains = np.diff(logs[-3:])
+    return len(gains) == 2 and gains[1] <= gains[0] < tolerance
+
+
+def scored(docs: DataFrame, states: int = STATES, iterations: int | None = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
+    """The likelihood of every row of ``docs`` under a model trained on all of them; iterations None: until it has settled."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunks = _bucketed(encoded(docs))
@@ -372,16 +383,21 @@ def scored(docs: DataFrame, states: int = STATES, iterations: int = ITERATIONS)
     answers = last.where("chunk >= 0")
     start, move = initial(states)
     model = Model(start, move, found[2 : 2 + states] + found[2 + states :], found[2 : 2 + states], int(found[0]) + 1)
-    for _ in range(iterations):
+    logs: list[float] = []  # before each round, a word
+    for _ in itertools.count() if iterations is None else range(iterations):
         counted = stored(_trained(chunks, answers, model, shards))
         found = _summed(counted, "shard = -1", states * states + 3 * states + 1)
         moves, (starts, total, unknown) = found[: states * states].reshape(states, states), found[states * states : -1].reshape(3, states)
         model = Model((starts + 1e-3) / (starts.sum() + states * 1e-3), (moves + 1e-3) / (moves.sum(axis=1, keepdims=True) + states * 1e-3), total, unknown, model.vocabulary)
         forget(last)  # the round after it is in the shared folder as well
         last, answers = counted, _answered(counted.where("shard >= 0"), states, plain=False)
+        forget_shuffles(spark)
+        logs.append(found[-1] / max(1.0, total.sum()))
+        if iterations is None and settled(logs, tolerance):
+            break
     return _scored(chunks, answers, model, kind)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The likelihood of every document of the table ``documents``."""
-    return scored(table(spark, sf_dir, "documents"))
+    """The likelihood of every document of the table ``documents``, under a model trained until it has settled."""
+    return scored(table(spark, sf_dir, "documents"), iterations=None)

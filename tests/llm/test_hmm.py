@@ -105,6 +105,22 @@ def test_training_raises_the_likelihood(spark):
     assert total[0] < total[1] < total[2]
 
 
+def test_the_query_trains_until_it_has_settled(spark, tmp_path):
+    rows = [(i, " ".join(["a b c d"] * 10 + ["x y z"] * 10), "en", "s", 1) for i in range(20)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    few, whole = ([r["log_likelihood"] / r["n_tokens"] for r in df.collect()] for df in (H.scored(frame(spark, rows)), H.query(spark, str(tmp_path))))
+    assert np.mean(whole) > np.mean(few) + 0.1
+    # Ten rounds more hardly help.
+    model_rounds = [np.sum(brute([rows[0][1]] * 20, iterations=k)[0]) / (20 * 70) for k in (40, 50)]
+    assert np.mean(whole) > model_rounds[0] - 0.05 and model_rounds[1] - model_rounds[0] < 0.05
+
+
+def test_slow_start_is_not_settled():
+    start = [-7.1143, -7.0996, -7.0991, -7.0983, -7.0968]  # gains that fall under the tolerance and grow again
+    assert not any(H.settled(start[:k], 1e-3) for k in range(6))
+    assert H.settled([-6.4124, -6.4118, -6.4113], 1e-3) and not H.settled([-6.5515, -6.4960, -6.4955], 1e-3)
+
+
 def test_hard_rows(spark):
     rows = hard_rows()
     got = H.scored(clashing(spark, rows)).collect()
