@@ -42,7 +42,8 @@ _SENSITIVE: list[tuple[float, int, tuple[str, ...]]] = [
     (0.6, 90, ("key", "cert", "pin")),
 ]
 _WEAKER = {"public", "name", "file", "path", "url", "uri", "length", "len", "count", "type", "field", "label", "hint", "policy", "column", "expires", "expiry", "ttl", "header", "prefix", "id", "size", "limit", "max", "min", "index"}
-_STEMS = re.compile("|".join(sorted({s for _, _, stems in _SENSITIVE for s in stems} - {"apikey", "accesskey", "secretkey", "privatekey", "signingkey", "encryptionkey", "authkey", "credentials", "password", "passwd"} | {"passw", "passwd", "://"})), re.IGNORECASE)
+#: A name's parts are joined before they are compared, so that anything but letters and digits may lie within a stem.
+_STEMS = re.compile("|".join(["://", *("[^A-Za-z0-9]*".join(stem) for stem in sorted({s for _, _, stems in _SENSITIVE for s in stems} - {"apikey", "accesskey", "secretkey", "privatekey", "signingkey", "encryptionkey", "authkey", "credentials", "password", "passwd"} | {"passw"}))]), re.IGNORECASE)
 _STEM_PATTERN = "(?i)" + _STEMS.pattern
 _OPERATOR = re.compile(r"=>|:=|[+|]?=|:")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -165,7 +166,7 @@ def assignments(text: str) -> Iterator[Assignment]:
         yield from (Assignment(m[2], m.start(4), "call", [("template", m[4])]) for m in _CALL.finditer(text))
     if "value" in text.lower():
         yield from (Assignment(m[2], m.start(4), "pair", [("template", m[4])]) for m in _PAIR.finditer(text))
-    if "--" in text:
+    if "-" in text:
         yield from (Assignment(m[1], m.start(2), "flag", [("template", m[2])]) for m in _FLAG.finditer(text))
     if "://" in text:
         yield from (Assignment("url.password", m.start(1), "url", [("literal", m[1])]) for m in _URL.finditer(text))
@@ -245,7 +246,7 @@ def secrets(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 kinds = (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int64())), *(pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True))], ["doc_id", *Finding._fields])
 
-    likely = docs.select("doc_id", "text").where("text LIKE '%=%' OR text LIKE '%:%' OR text LIKE '%</%' OR text LIKE '%(%' OR text LIKE '%--%'")
+    likely = docs.select("doc_id", "text").where("text LIKE '%=%' OR text LIKE '%:%' OR text LIKE '%</%' OR text LIKE '%(%' OR text LIKE '%-%'")
     # A JVM-side test leaves few texts for Python: without a stem no name is sensitive.
     likely = likely.where(likely["text"].rlike(_STEM_PATTERN))
     return likely.mapInArrow(worker, f"doc_id {kind}, line int, start int, name string, kind string, length int, digest string, score double")

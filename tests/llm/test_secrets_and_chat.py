@@ -22,6 +22,13 @@ CLEAN = [
 ]
 
 
+def test_names_in_parts_and_short_flags_are_read(spark):
+    """The test before the lexer lets every name pass that the scorer joins from its parts."""
+    texts = ['DB_PASS_PHRASE = "zX91kkq7"', 'pass.code: "h4xx0rz99"', 'PASS_WORD = "Tr0ub4dor"', "run -password zX91kkq7", 'P_W_D = "zX91kkq7"']
+    got = S.secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["name"]) for r in got) == [(0, "DB_PASS_PHRASE"), (1, "pass.code"), (2, "PASS_WORD"), (3, "password"), (4, "P_W_D")]
+
+
 @pytest.mark.parametrize("text,name,literal", FOUND)
 def test_found(text, name, literal):
     got = {(f.name, f.digest) for f in S.findings(text)}
