@@ -4,7 +4,7 @@ Conventions of all operators here:
 
 * a null text counts as an empty text; rows whose ``doc_id`` is null or repeated are described in
   each operator's docstring;
-* input columns are picked by name first, so extra columns never clash with internal ones.
+* input columns are picked by name, or renamed by position, before internal ones join them, so extra columns never clash.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Name given to a null or missing source.
 NO_SOURCE = "(none)"
+#: Bytes of text that a labelled sample may have together.
+SAMPLE_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share, from ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder all executors share, from ``spark.checkpoint.dir``; one of our own only where that is unset and Spark runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="orrery-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -60,14 +64,43 @@ def forget_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def labelled_sample(ids: DataFrame, texts: DataFrame, bound: int) -> DataFrame:
-    """At most ``bound`` rows of ``ids`` (doc_id, label columns), the smallest by hash of doc_id, with their whole texts.
+def labelled_sample(ids: DataFrame, texts: DataFrame, bound: int, max_bytes: int = SAMPLE_BYTES) -> list[tuple]:
+    """Labels and whole texts of at most ``bound`` distinct rows of ``ids`` (doc_id, label columns), on the driver.
 
-    Only slim columns are sorted; the texts of the chosen rows come by a join with the ``bound`` ids, which is
-    small enough to broadcast because the bound is a parameter.
+    Taken are the rows with the smallest hash of doc_id that have a text, one text for each id (of several the first in
+    order), until the texts have ``max_bytes`` together; texts of more than a sixteenth of that are passed over. So
+    repeated rows and very long texts can't make the sample larger, and each task keeps one text for an id at most.
     """
-    chosen = ids.where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64(F.col("doc_id")), *ids.columns).limit(bound)
-    return texts.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    labels = [c for c in ids.columns if c != "doc_id"]
+    known = ids.where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64(F.col("doc_id")), *ids.columns).limit(bound).select("doc_id", *labels).collect()
+    if not known:
+        return []
+    kind = texts.schema["doc_id"].dataType.simpleString()
+
+    def one_each(batches):
+        best: dict = {}
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key not in best or text < best[key]:
+                    best[key] = text
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), batch_type), pa.array(list(best.values()), pa.string())], ["doc_id", "text"])
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    batch_type = to_arrow_type(texts.schema["doc_id"].dataType)
+    own = texts.select("doc_id", "text").where(F.col("doc_id").isin([r[0] for r in known]) & (F.octet_length("text") <= max_bytes // 16))
+    picked = stored(own.mapInArrow(one_each, f"doc_id {kind}, text string").groupBy("doc_id").agg(F.min("text").alias("text")))
+    size = dict(picked.select("doc_id", F.octet_length("text")).toLocalIterator())
+    rows, total = [], 0
+    for row in known:
+        total += size.get(row[0], 0)
+        if total > max_bytes:
+            break
+        if row[0] in size:
+            rows.append(row)
+    text_of = dict(picked.where(F.col("doc_id").isin([r[0] for r in rows])).toLocalIterator()) if rows else {}
+    forget(picked)
+    return [(*r[1:], text_of[r[0]]) for r in rows]
 
 
 # -- bytes and words of Arrow text

@@ -259,8 +259,7 @@ def learned(docs: DataFrame, sample: int = SAMPLE) -> Net | None:
     if "lang" not in docs.columns:
         return None
     labelled = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    rows = labelled_sample(labelled.select("doc_id", "lang"), labelled.select("doc_id", "text"), sample)
-    return train([(r["lang"], r["text"]) for r in rows.select("lang", "text").toLocalIterator()])
+    return train(labelled_sample(labelled.select("doc_id", "lang"), labelled.select("doc_id", "text"), sample))
 
 
 def identified(docs: DataFrame, net: Net | None, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:

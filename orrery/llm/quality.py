@@ -7,8 +7,8 @@ smallest hash of doc_id; the table of labels may be of any size), ``EPOCHS`` tim
 dot product for each text, over the whole text.
 
 Cases: null and empty texts have no features: their score is that of the bias alone. Null ids are scored but have no
-label; rows are scored one by one, so repeated ones get equal scores; of several labels of a document each is an
-example. Labels other than 0 and 1 are ignored. Without examples of both classes nothing can be learned: the score is
+label; rows are scored one by one, so repeated ones get equal scores; of several different labels of a document each is
+an example, and of several texts of one id the first in order is used. Labels other than 0 and 1 are ignored. Without examples of both classes nothing can be learned: the score is
 null and every row stays. The result has the columns below only.
 """
 
@@ -96,8 +96,7 @@ def scores(model: Model, texts: pa.Array) -> np.ndarray:
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """The classifier trained on a bounded sample of the labelled documents."""
-    rows = labelled_sample(labels.select("doc_id", "quality").where("quality IN (0, 1)"), docs, sample)
-    return train([(r["quality"], r["text"]) for r in rows.select("quality", "text").toLocalIterator()])
+    return train(labelled_sample(labels.select("doc_id", "quality").where("quality IN (0, 1)"), docs, sample))
 
 
 def classified(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
