@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import pytest
 
@@ -82,3 +83,82 @@ def test_chat_against_brute_force(spark):
     assert got == expand(TURNS) and len(got) == 5
     assert all((p + t)[a:b] == t for _, _, _, p, t, a, b in got), "only the reply is trainable"
     assert C.examples(df.limit(0)).count() == 0
+
+
+def plain(text):
+    """A plain reading of programs whose lines are ``name = part + part ...``: (name, SHA-256) of what sensitive names hold."""
+    lines = [(k, *(x.strip() for x in line.split(" = ", 1))) for k, line in enumerate(text.split("\n"))]
+
+    def meant(at, name):
+        own = [k for k, n, _ in lines if n == name and k != at]
+        return max((k for k in own if k < at), default=min(own, default=None))
+
+    def reaches(at, goal, seen=()):
+        nexts = [meant(at, p) for p in lines[at][2].split(" + ") if p[0] != '"']
+        return any(k is not None and (k == goal or (k not in seen and reaches(k, goal, (*seen, k)))) for k in nexts)
+
+    def value(at):
+        parts = lines[at][2].split(" + ")
+        out = []
+        for p in parts:
+            if p[0] == '"':
+                out.append(p[1:-1])
+                continue
+            k = meant(at, p)
+            known = None if k is None or reaches(k, at) else value(k)
+            if known is None and len(parts) > 1:
+                return None
+            out.append(p if known is None else known)
+        return "".join(out)
+
+    found = set()
+    for k, name, body in lines:
+        weight, bits = S.sensitivity(name)
+        literal = value(k) if weight else None
+        if literal is None or literal == name:
+            continue
+        score = weight * S.strength(S.Value(len(literal), literal), bits)
+        if body == literal and '"' not in body and not any(c.isdigit() for c in literal):
+            score *= 0.4
+        if score >= S.THRESHOLD:
+            found.add((k + 1, name, len(literal), hashlib.sha256(literal.encode()).hexdigest()))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_against_a_plain_reading(seed):
+    """Drawn programs of up to 25 assignments, with cycles, repeated names and constants defined later."""
+    import random
+
+    rng = random.Random(seed)
+    names = ["a", "b", "c", "base", "part", "token", "db_password", "api_key", "title"]
+    part = lambda: rng.choice(names) if rng.random() < 0.5 else '"' + "".join(rng.choices("abcdxyz0189", k=rng.randrange(1, 14))) + '"'
+    text = "\n".join(f"{rng.choice(names)} = {' + '.join(part() for _ in range(rng.choice([1, 1, 1, 2, 3])))}" for _ in range(rng.randrange(1, 26)))
+    assert {(f.line, f.name, f.length, f.digest) for f in S.findings(text)} == plain(text)
+
+
+def test_drawn_programs_have_findings():
+    assert plain('a = "x1y2z3"\nb = a + "q9"\ndb_password = b') == {(3, "db_password", 8, hashlib.sha256(b"x1y2z3q9").hexdigest())}
+
+
+def test_doubling_lines_are_reported_in_no_time():
+    """A value too long to spell out keeps its length and score; only its digest is null."""
+    lines = ['a0 = "x7"'] + [f"a{k + 1} = a{k} + a{k}" for k in range(200)]
+    text = "\n".join([*lines, "password = a12", "db_password = a20", "api_token = a200"])
+    got = {f.name: f for f in S.findings(text)}
+    assert got["password"].digest == hashlib.sha256(("x7" * 4096).encode()).hexdigest()
+    assert (got["db_password"].length, got["db_password"].digest, got["db_password"].score) == (2 << 20, None, 1.0)
+    assert got["api_token"].length == (1 << 63) - 1
+
+
+def test_constants_go_through_any_number_of_names():
+    text = "\n".join(['n0 = "s3cr3tX9"', *(f"n{k + 1} = n{k}" for k in range(5000)), "db_password = n5000"])
+    assert [(f.name, f.digest) for f in S.findings(text)] == [("db_password", hashlib.sha256(b"s3cr3tX9").hexdigest())]
+
+
+def test_long_values_count_as_if_spelled_out():
+    parts = [S.Value(len(t), t) for t in ("ab1" * 9000, "zz9 " * 10, "q" * 30000)]
+    whole, spelled = S.joined(parts), "".join(p.text for p in parts)
+    assert whole.text is None and whole.length == len(spelled)
+    assert math.isclose(S.strength(whole, 10**6), S.strength(S.Value(len(spelled), spelled), 10**6))
+    assert S.joined([whole, parts[0]]).ends == (spelled[:64], parts[0].text[-64:])
