@@ -3,19 +3,23 @@
 Each source's documents, shuffled by the MD5 of their id, are laid end to end and cut into blocks of ``block_tokens``
 tokens; a document belongs to the block in which it begins. Slot i of the schedule takes the golden-ratio point
 frac(i * 0.618...), which falls into one source's share of the cumulated weights. The r-th slot of a source holds its
-r-th block, so that every stretch of the schedule has the sources in their target proportions.
+r-th block, so that every stretch of the schedule has the sources in their target proportions. Points are whole
+64-bit numbers (a multiplication modulo 2**64), so they stay exact for any number of slots.
 
-The schedule ends where the first source would need more than ``max_epochs`` times its blocks; what other sources have
-beyond their share is left out. With ``max_epochs`` None it ends where every source has had its last block: nothing is
-left out, and sources of fewer blocks than their share begin again from their first. By default a source weighs the
-square root of its tokens.
+With ``max_epochs`` None, as in the query and the pipeline, the schedule ends where every source has had its last block:
+nothing is left out, and sources of fewer blocks than their share begin again from their first. With a number it ends
+where the first source would need more than that many times its blocks; what other sources have beyond their share is
+left out. By default a source weighs the square root of its tokens.
 
-The running token count of a source needs no single sorted pass: documents fall into 4096 ranges of their MD5, counts
-run inside a range, and the totals of ranges are cumulated. Tokens are runs of non-blank characters.
+Nothing needs a source's rows in one place: documents fall into 4096 ranges of their MD5 and slots into ranges of
+``SLOT_RANGE``; counts run inside a range, and the totals of ranges are cumulated. A slot finds its source by an equal
+join: the cumulated weights are cut into ``4 x sources`` cells, and each source is listed in the cells that it touches.
+Tokens are runs of non-blank characters.
 
 Cases: null sources count as ``(none)``; null and empty texts are documents of no tokens and travel with the document
-that follows; identical rows travel together; sources without tokens or with a weight of 0 get no slot; an empty table
-gives an empty schedule. The result has the columns below only, so other columns can't clash.
+that follows; identical rows travel together, and a document under two sources is one of each; sources without tokens
+or with a weight of 0 get no slot; an empty table gives an empty schedule. Rows are told apart by source and 128 bits of
+id and text. The result has the columns below only, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -26,29 +30,36 @@ from pyspark.sql import functions as F
 from .common import NO_SOURCE, stored, table
 
 BLOCK_TOKENS = 4096
-GOLDEN = "0.6180339887498949D"
+#: 2**64 divided by the golden ratio.
+GOLDEN = 11400714819323198485
+#: Slots whose ranks are counted in one place.
+SLOT_RANGE = 1 << 18
+_KEY = ["row", "row2"]
+
+
+def _named() -> list:
+    """source, row and row2: what tells rows apart."""
+    source = F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE))
+    return [source.alias("source"), F.xxhash64("doc_id", "text").alias("row"), F.xxhash64("text", "doc_id").alias("row2")]
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    """One slim row for each distinct row of docs: source, doc_id, row, key, n_tokens (of all copies)."""
-    slim = docs.select(
-        F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source"), "doc_id",
-        F.xxhash64("doc_id", "text").alias("row"), F.expr(r"coalesce(regexp_count(text, '\\S+'), 0)").cast("long").alias("t"),
-    )
-    units = slim.groupBy("source", "doc_id", "row").agg(F.sum("t").alias("n_tokens"))
+    """One slim row for each distinct row of docs: source, doc_id, row, row2, key, n_tokens (of all copies)."""
+    slim = docs.select(*_named(), "doc_id", F.expr(r"coalesce(regexp_count(text, '\\S+'), 0)").cast("long").alias("t"))
+    units = slim.groupBy("source", "doc_id", *_KEY).agg(F.sum("t").alias("n_tokens"))
     return units.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
 
 
 def _placed(units: DataFrame, block_tokens: int) -> DataFrame:
     """units with their block and the tokens before them in it."""
     units = units.withColumn("range", F.substring("key", 1, 3))
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", *_KEY).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     totals = units.groupBy("source", "range").agg(F.sum("n_tokens").alias("t"))
     offsets = totals.select("source", "range", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("offset"))
     running = units.withColumn("local", F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     at = running.join(offsets, ["source", "range"]).withColumn("at", F.col("offset") + F.col("local"))
-    return at.select("source", "doc_id", "row", "n_tokens", F.expr(f"at div {block_tokens}L").alias("block"), F.expr(f"at % {block_tokens}L").alias("block_offset"))
+    return at.select("source", *_KEY, "n_tokens", F.expr(f"at div {block_tokens}L").alias("block"), F.expr(f"at % {block_tokens}L").alias("block_offset"))
 
 
 def _shares(placed: DataFrame, weights: dict[str, int] | None) -> DataFrame:
@@ -65,21 +76,27 @@ def _shares(placed: DataFrame, weights: dict[str, int] | None) -> DataFrame:
 def schedule(placed: DataFrame, weights: dict[str, int] | None = None, max_epochs: int | None = 1) -> DataFrame:
     """slot, source, block and epoch for every slot that has a block; max_epochs None: until all blocks have had one."""
     shares = stored(_shares(placed, weights))
-    need = F.floor(F.col("blocks") * F.lit(max_epochs or 1) * F.col("all") / F.col("weight")).cast("long")
-    found = shares.agg(F.max("hi").alias("all")).crossJoin(shares).agg(F.max("all"), F.min(need), F.max(need), F.min("weight"), F.count("*")).first()
-    total, slots = (found[0] or 0, found[1] or 0)
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("slot")).cast("long") - 1
+    total, count = shares.agg(F.coalesce(F.max("hi"), F.lit(0)), F.count("*")).first()
+    need = F.expr(f"CAST(CAST(blocks AS DECIMAL(20, 0)) * {max_epochs or 1} * {total} div weight AS BIGINT)")
+    least, most, light = shares.agg(F.min(need), F.max(need), F.min("weight")).first()
+    width = total // (4 * count) + 1 if count else 1
+    cells = shares.withColumn("cell", F.explode(F.expr(f"sequence(lo div {width}L, (hi - 1) div {width}L)")))
 
     def ranked(slots: int) -> DataFrame:
-        points = placed.sparkSession.range(slots).selectExpr("id AS slot", f"(id * {GOLDEN} - floor(id * {GOLDEN})) * {total} AS u")
-        return points.join(shares, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).withColumn("rank", rank)
-
+        points = placed.sparkSession.range(slots).selectExpr("id AS slot", f"(CAST(id AS DECIMAL(18, 0)) * {GOLDEN}BD % {1 << 64}BD) * CAST({total} AS DECIMAL(14, 0)) div {1 << 64}BD AS u")
+        own = points.withColumn("cell", F.expr(f"u div {width}L")).join(cells, "cell").where("u >= lo AND u < hi").withColumn("range", F.expr(f"slot div {SLOT_RANGE}L"))
+        before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = own.groupBy("source", "range").agg(F.count("*").alias("n")).select("source", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+        inside = F.row_number().over(Window.partitionBy("source", "range").orderBy("slot"))
+        return own.select("slot", "source", "range", "blocks", inside.alias("local")).join(offsets, ["source", "range"]).select("slot", "source", "blocks", (F.col("offset") + F.col("local") - 1).alias("rank"))
+
+    slots = least or 0
     if max_epochs is None and total:
         # The points of an interval differ from its share by a few: some slots more may be needed, or some fewer.
-        slots, ended = found[2], (0, None)
-        while ended[0] < found[4]:
+        slots, ended = most, (0, None)
+        while ended[0] < count:
             ended = ranked(slots).where("rank = blocks - 1").agg(F.count("*"), F.max("slot")).first()
-            slots = ended[1] + 1 if ended[0] == found[4] else slots + -(-total // found[3])
+            slots = ended[1] + 1 if ended[0] == count else slots + -(-total // light)
     taken = ranked(slots)
     if max_epochs is not None:
         taken = taken.where(F.col("rank") < F.col("blocks") * F.lit(max_epochs))
@@ -93,15 +110,14 @@ def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block_tokens:
     """
     placed = stored(_placed(_units(docs), block_tokens))
     chosen = placed.join(schedule(placed, weights, max_epochs), ["source", "block"])
-    chosen = chosen.select(F.col("row").alias("__row"), "slot", "block_offset", "source", "block", "epoch", "n_tokens")
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("__row"), "doc_id", "text", lang.alias("lang"))
-    return texts.join(chosen, "__row").select("slot", "block_offset", "doc_id", "text", "lang", "source", "block", "epoch", "n_tokens")
+    texts = docs.select(*_named(), "doc_id", "text", lang.alias("lang"))
+    return texts.join(chosen, ["source", *_KEY]).select("slot", "block_offset", "doc_id", "text", "lang", "source", "block", "epoch", "n_tokens")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole table ``documents`` as a schedule with square-root weights."""
-    return mixed(table(spark, sf_dir, "documents"))
+    """The whole table ``documents`` as a schedule with square-root weights that leaves nothing out."""
+    return mixed(table(spark, sf_dir, "documents"), max_epochs=None)
 
 
 ORACLE = rf"""
@@ -114,13 +130,15 @@ placed AS (
 totals AS (SELECT source, sum(n_tokens)::BIGINT AS t, max(block) + 1 AS blocks FROM placed GROUP BY source HAVING sum(n_tokens) > 0),
 shares AS (
   SELECT source, blocks, floor(sqrt(t))::BIGINT AS weight, (sum(floor(sqrt(t))::BIGINT) OVER (ORDER BY source ROWS UNBOUNDED PRECEDING))::BIGINT AS hi FROM totals),
-ends AS (SELECT max(hi) AS total, (SELECT min(floor(blocks * (SELECT max(hi) FROM shares) / weight))::BIGINT FROM shares) AS slots FROM shares),
+-- Slots up to twice the largest need and some more, of which the schedule takes those to the last first use of a block.
+ends AS (SELECT max(hi) AS total, (2 * max(blocks * (SELECT max(hi) FROM shares) // weight) + 20 * (max(hi) // min(weight) + 1))::BIGINT AS bound FROM shares),
 points AS (
-  SELECT i AS slot, (i::DOUBLE * 0.6180339887498949::DOUBLE - floor(i::DOUBLE * 0.6180339887498949::DOUBLE)) * total AS u
-  FROM (SELECT unnest(range(slots)) AS i, total FROM ends)),
+  SELECT i AS slot, ((i::HUGEINT * {GOLDEN} % 18446744073709551616::HUGEINT) * total::HUGEINT // 18446744073709551616::HUGEINT)::BIGINT AS u
+  FROM (SELECT unnest(range(bound)) AS i, total FROM ends)),
 ranked AS (
-  SELECT slot, source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS block
-  FROM points JOIN shares ON u >= hi - weight AND u < hi)
-SELECT slot, block_offset, doc_id, text, lang, source, block, 0::BIGINT AS epoch, n_tokens
-FROM placed JOIN ranked USING (source, block) WHERE block < blocks
+  SELECT slot, source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+  FROM points JOIN shares ON u >= hi - weight AND u < hi),
+last AS (SELECT max(slot) AS slot FROM ranked WHERE rank = blocks - 1),
+taken AS (SELECT slot, source, rank % blocks AS block, rank // blocks AS epoch FROM ranked WHERE slot <= (SELECT slot FROM last))
+SELECT slot, block_offset, doc_id, text, lang, source, block, epoch, n_tokens FROM placed JOIN taken USING (source, block)
 """

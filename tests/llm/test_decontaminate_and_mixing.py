@@ -145,3 +145,22 @@ def test_mixing_hard_rows(spark):
 def test_words_are_found_across_blocks():
     texts = pa.array([None, "a b", "", "C-d é1"])
     assert [len(b.offsets) - 1 for b in blocks(texts, 4)] == [2, 2] or sum(len(b.offsets) - 1 for b in blocks(texts, 4)) == 4
+
+
+def test_a_document_under_two_sources_is_one_of_each(spark):
+    rows = [(1, "a b c", "en", s, 1) for s in ("x", "y")] + [(2, "d", "en", "x", 1)] * 2
+    got = M.mixed(frame(spark, rows), max_epochs=None).collect()
+    first = sorted((r["doc_id"], r["source"]) for r in got if r["epoch"] == 0)
+    assert first == [(1, "x"), (1, "y"), (2, "x"), (2, "x")]
+
+
+def test_ranks_run_on_over_ranges_of_slots(spark, monkeypatch):
+    rows = [(i, words(i, 5 + i % 40), "en", f"s{i % 3}", 1) for i in range(300)]
+    whole = sorted(map(tuple, M.mixed(frame(spark, rows), block_tokens=50, max_epochs=None).collect()))
+    monkeypatch.setattr(M, "SLOT_RANGE", 7)
+    assert sorted(map(tuple, M.mixed(frame(spark, rows), block_tokens=50, max_epochs=None).collect())) == whole
+
+
+def test_points_are_those_of_the_golden_ratio():
+    assert abs(M.GOLDEN / 2**64 - 0.6180339887498949) < 1e-15
+    assert all(abs(i * M.GOLDEN % 2**64 / 2**64 - i * 0.6180339887498949 % 1) < 1e-9 for i in range(100_000))
