@@ -23,7 +23,7 @@ def normal(text):
 def brute(text, bench, n=D.WINDOW):
     w, spots, items = normal(text), set(), set()
     for item, b in bench:
-        b = normal(b) if item is not None else []
+        b = normal(b)
         if len(b) >= D.MIN_WORDS:
             k = min(n, len(b))
             grams = {tuple(b[i : i + k]) for i in range(len(b) - k + 1)}
@@ -32,7 +32,7 @@ def brute(text, bench, n=D.WINDOW):
                     spots.add((i, i + k))
                     items.add(item)
     covered = {p for a, b in spots for p in range(a, b)}
-    return len(spots), len(covered), sorted(items)
+    return len(spots), len(covered), sorted(items, key=lambda x: (x is None, x))
 
 
 DOCS = [
@@ -46,18 +46,18 @@ def test_contamination_against_brute_force(spark, monkeypatch, limit):
     """One hash set, and a benchmark in several parts."""
     monkeypatch.setattr(D, "MAX_BENCHMARK_BYTES", limit)
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
-    got = {r["doc_id"]: (r["n_windows"], r["hit_words"], [int(x) for x in r["items"].split(",")]) for r in D.contamination(frame(spark, DOCS), bench).collect()}
+    got = {r["doc_id"]: (r["n_windows"], r["hit_words"], [None if x == D.NO_ITEM else int(x) for x in r["items"].split(",")]) for r in D.contamination(frame(spark, DOCS), bench).collect()}
     want = {d[0]: brute(d[1], BENCH) for d in DOCS}
     assert got == {k: v for k, v in want.items() if v[0]}
-    assert set(got) == {1, 3, 5}
+    assert set(got) == {1, 3, 5, 7}
 
 
 def test_spans_go_and_the_rest_stays(spark):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     out = {r["doc_id"]: r for r in D.decontaminated(frame(spark, DOCS), bench).collect()}
-    assert set(out) == {1, 2, 3, 4, 6, 7}
+    assert set(out) == {1, 2, 3, 4, 6}
     assert out[1]["text"].startswith("intro words here. ") and "brown" not in out[1]["text"] and out[1]["text"].endswith(words(1, 40)) and out[1]["n_chars"] == len(out[1]["text"])
-    assert all(out[k]["text"] == dict((d[0], d[1]) for d in DOCS)[k] for k in (2, 4, 6, 7))
+    assert all(out[k]["text"] == dict((d[0], d[1]) for d in DOCS)[k] for k in (2, 4, 6))
 
 
 def test_removal_leaves_no_new_hit():
@@ -65,6 +65,26 @@ def test_removal_leaves_no_new_hit():
     assert D.clean("p a x y z w v b c d q", sets).split() == ["p", "q"]
 
 
+def test_item_ids_of_any_type(spark):
+    bench = spark.createDataFrame([("set/b", BENCH[0][1]), ("set/a", BENCH[0][1]), (None, BENCH[2][1])], "item_id string, text string")
+    assert {r["doc_id"]: r["items"] for r in D.contamination(frame(spark, DOCS), bench).collect()} == {1: "set/a,set/b", 3: "(none)", 5: "set/a,set/b"}
+
+
+def test_long_items_in_pieces_find_the_same(spark, monkeypatch):
+    """Pieces, parts and held texts give what one set gives."""
+    long = words(70, 600, 5000)
+    bench = spark.createDataFrame([(1, long), (2, words(71, 300, 5000)), (3, BENCH[2][1])], "item_id int, text string")
+    w = long.split()
+    rows = [(i, " ".join(["x y", *w[7 * i : 7 * i + 12], "z"]), "en", "s", 1) for i in range(80)] + [(100, BENCH[2][1], "en", "s", 1), (101, long, "en", "s", 1)]
+    whole = sorted(map(tuple, D.contamination(frame(spark, rows), bench).collect()))
+    kept = sorted(map(tuple, D.decontaminated(frame(spark, rows), bench).collect()))
+    assert len(whole) == len(rows) and len(kept) < len(rows)
+    for name, value in (("PIECE", 200), ("MAX_BENCHMARK_BYTES", 500), ("HELD", 3000)):
+        monkeypatch.setattr(D, name, value)
+    assert sorted(map(tuple, D.contamination(frame(spark, rows), bench).collect())) == whole
+    assert sorted(map(tuple, D.decontaminated(frame(spark, rows), bench).collect())) == kept
+
+
 def test_decontaminate_hard_rows(spark):
     docs, bench = clashing(spark, hard_rows()), spark.createDataFrame(BENCH, "item_id long, text string")
     assert D.decontaminated(docs, bench).columns == docs.columns and D.decontaminated(docs, bench).count() == len(hard_rows())
