@@ -53,7 +53,28 @@ def test_hard_rows(spark):
     out = D.deduplicated(clashing(spark, rows))
     assert out.columns == clashing(spark, rows).columns
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=repr) == brute(rows)
-    assert D.deduplicated(empty(spark)).count() == 0
+    assert sorted(((r["doc_id"], r["text"]) for r in D.deduplicated(clashing(spark, rows), 0).collect()), key=repr) == brute(rows)
+    assert D.deduplicated(empty(spark)).count() == 0 == D.deduplicated(empty(spark), -1).count()
+
+
+@pytest.mark.parametrize("limit", [D.MAX_BROADCAST, 0])
+def test_internal_names_in_the_input(spark, limit):
+    """Columns of any names pass through, the operator's own among them."""
+    names = ["doc_id", "text", "row", "row2", "cut", "lines", "kept", "pos", "line", "c0", "c1", "__cut", "__row", "n_chars"]
+    df = spark.createDataFrame([(1, "a\nb", *range(12)), (2, "b\nc", *range(12))], ["doc_id", "text", *names[2:]])
+    got = D.deduplicated(df, limit)
+    assert got.columns == names
+    assert sorted(map(tuple, got.collect())) == [(1, "a\nb", *range(12)), (2, "c", *range(11), 1)]
+
+
+def test_large_filters_and_many_shards(spark, monkeypatch):
+    """Places sent in several messages, long texts and one line in a third of all rows: as by broadcast, and as line by line."""
+    monkeypatch.setattr(D, "GATHERED", 50)
+    rows = [(i, "\n".join(f"line {(i * 7 + k * k) % 97}" for k in range(5)) + ("\nhot" if i % 3 == 0 else ""), "en", "s", 1) for i in range(120)]
+    rows += [(500, "\n".join(f"line {k % 301}" for k in range(20_000)), "en", "s", 1)]
+    for limit in (0, D.MAX_BROADCAST):
+        got = sorted(((r["doc_id"], r["text"]) for r in D.deduplicated(frame(spark, rows), limit).collect()), key=repr)
+        assert got == brute(rows)
 
 
 def test_every_repeat_is_in_the_filter():
