@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from orrery.llm import outliers as O
 from orrery.llm import quality as Q
@@ -47,23 +50,48 @@ def test_quality_hard_rows(spark):
     assert all(r["kept"] and r["score"] is None for r in unlearned)
 
 
-def brute(x: np.ndarray):
-    """The same estimate with all vectors of a group in one place."""
+def concentrated(x: np.ndarray):
+    """Where concentration steps end from each start: (logarithm of the determinant, distances), all vectors in one place."""
     spread = (np.quantile(x, 0.75, axis=0, method="inverted_cdf") - np.quantile(x, 0.25, axis=0, method="inverted_cdf")) / 1.349
     ends = []
     for d in O.started(x, np.quantile(x, 0.5, axis=0, method="inverted_cdf"), spread):
-        for _ in range(O.STEPS):
+        best = None
+        while True:
             cut = np.argmax(np.bincount(O.bins(d), minlength=O.BINS).cumsum() >= np.ceil(len(x) * O.COVERED))
             near = x[O.bins(d) <= cut]
             p, logdet = O.fitted(len(near), near.sum(axis=0), near.T @ near)
+            if best is not None and logdet >= best[0] - O.TOLERANCE:
+                break
             p = np.array(p)
             d = O.squared(x, p[: O.DIM], p[O.DIM :].reshape(O.DIM, O.DIM))
-        ends.append((logdet, d))
-    d = min(ends, key=lambda e: e[0])[1]
+            best = (logdet, d)
+        ends.append(best)
+    return ends
+
+
+def brute(x: np.ndarray):
+    """The documented distances with all vectors of a group in one place."""
+    d = min(concentrated(x), key=lambda e: e[0])[1]
     median = np.argmax(np.bincount(O.bins(d), minlength=O.BINS).cumsum() >= np.ceil(len(x) * 0.5))
     return d * min(1.0, O.chi_square(0.5) / 2 ** ((median + 0.5) / O.PER_OCTAVE - 8))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_steps_end_at_the_least_determinant_of_all_subsets(seed):
+    """Of sixteen vectors every subset of twelve is tried: the steps find the same outliers and, but for whole bins, its determinant."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(16, O.DIM)) * 0.3 + rng.normal(size=O.DIM)
+    x[12:] += rng.choice([-1, 1], size=(4, O.DIM)) * rng.uniform(4, 9, size=(4, 1))
+
+    def logdet(rows):
+        near = x[list(rows)]
+        return O.fitted(len(near), near.sum(axis=0), near.T @ near)[1]
+
+    least, subset = min((logdet(rows), rows) for rows in itertools.combinations(range(16), 12))
+    ended, d = min(concentrated(x), key=lambda e: e[0])
+    assert set(np.argsort(d)[:12].tolist()) == set(subset) and abs(ended - least) < 1e-6
+
+
 def test_outliers_against_brute_force(spark):
     rows = [(i, words(i, 40 + i % 90) + ".\n" + words(i + 1, 30), "en", f"s{i % 2}", None) for i in range(200)]
     rows += [(1000 + i, "### $$$ " * (60 + i) + "A1 B2", "en", "s0", None) for i in range(6)] + [(2000, "HELLO " * 300, "en", "s1", None)]
