@@ -106,6 +106,24 @@ def table_of(name: Column) -> Column:
     return F.coalesce(bare, F.nullif(F.regexp_extract(name, "^(.+?)(Entity|Model|PO|DTO|Record)$", 1), F.lit("")), name)
 
 
+def split_list(column: Column) -> Column:
+    """The parts of a list written with commas or blanks."""
+    return F.filter(F.split(column, r"[\s,]+"), lambda x: x != "")
+
+
+def repo_slug(project: Column, path: Column, default: str = "My Application") -> Column:
+    """A repository's slug: of its project's name unless that is the default, else of its path's last part."""
+    last = F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
+    return slug(F.when((project != default) & (F.trim(project) != ""), project).otherwise(last), "repo")
+
+
+def display_name(key: Column, fallback: Column, canonical: list[str]) -> Column:
+    """How a canonical entity is written: as the semantics write it, else as the model does, else as its key."""
+    table = {c.lower(): c for c in reversed(canonical)}
+    told = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[key] if table else F.lit(None).cast("string")
+    return F.coalesce(told, F.nullif(fallback, F.lit("")), key)
+
+
 def base_name(name: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(name, "^(.+?)(Controller|Service|Resource|Router)$", 1), F.lit("")), name)
 
@@ -186,9 +204,11 @@ def by_folder(path: Column) -> Column:
     return F.get(F.filter(F.transform(F.split(path, "/"), lambda p: table[F.lower(p)]), lambda x: x.isNotNull()), F.lit(0))
 
 
-def stereotype(language: Column, name: Column, path: Column, annotations: Column, bases: Column) -> Column:
-    """The cascade: annotations, then supertypes, then the name's suffix, then folders, then Component."""
-    return _first(by_annotation(annotations, language), by_bases(bases), by_name(name), by_folder(path), F.lit("Component"))
+def stereotype(language: Column, name: Column, path: Column, annotations: Column, bases: Column, custom: Column | None = None, convention: Column | None = None) -> Column:
+    """The cascade: annotations (``custom`` ones first), then supertypes, then the name's suffix, then folders (a ``convention``
+    first), then Component."""
+    none = F.lit(None).cast("string")
+    return _first(none if custom is None else custom, by_annotation(annotations, language), by_bases(bases), by_name(name), none if convention is None else convention, by_folder(path), F.lit("Component"))
 
 
 def host_stereotype(a: dict[str, Column], override: Column | None = None) -> Column:

@@ -14,8 +14,9 @@ from ..storage import cut
 
 
 def simple_graph(edges: DataFrame) -> DataFrame:
-    """At most one edge for each pair of nodes; of parallel ones the last relation type in order stays."""
-    return edges.groupBy("source_id", "target_id").agg(F.max("rel_type").alias("rel_type"))
+    """At most one edge for each pair of nodes; of parallel ones the last by ord stays, without ord the greatest relation type."""
+    last = F.max_by("rel_type", F.struct("ord", "rel_type")) if "ord" in edges.columns else F.max("rel_type")
+    return edges.groupBy("source_id", "target_id").agg(last.alias("rel_type"))
 
 
 def valid_edges(edges: DataFrame, elements: DataFrame) -> DataFrame:
@@ -286,7 +287,7 @@ def related_tables(elements: DataFrame, edges: DataFrame, entries: DataFrame, de
     steps = cut(_directed(edges, "downstream").select("src", "dst").distinct())
     tables = elements.where("stereotype = 'Entity' OR language IN ('db2', 'dataset')").select("id", F.coalesce("table_name", "name").alias("table_name"))
     frontier = visited = cut(entries.select(F.col("id").alias("entry_id"), "id").distinct())
-    found = None
+    found = frontier.join(tables, "id").select("entry_id", "table_name", F.lit(0).alias("hop")).limit(0)
     for hop in range(1, depth + 1):
         step = frontier.join(steps, frontier["id"] == steps["src"]).select("entry_id", F.col("dst").alias("id")).distinct().join(visited, ["entry_id", "id"], "left_anti")
         frontier = cut(step)
@@ -294,7 +295,7 @@ def related_tables(elements: DataFrame, edges: DataFrame, entries: DataFrame, de
             break
         visited = visited.unionByName(frontier)
         level = frontier.join(tables, "id").select("entry_id", "table_name", F.lit(hop).alias("hop"))
-        found = cut(level if found is None else found.unionByName(level).groupBy("entry_id", "table_name").agg(F.min("hop").alias("hop")))
+        found = cut(found.unionByName(level).groupBy("entry_id", "table_name").agg(F.min("hop").alias("hop")))
         full = found.groupBy("entry_id").agg(F.count_distinct("table_name").alias("n")).where(F.col("n") >= enough)
         frontier = frontier.join(full, "entry_id", "left_anti")
     best = found.groupBy("entry_id", "table_name").agg(F.min("hop").alias("hop"))

@@ -135,10 +135,33 @@ def fk_edges(elements: DataFrame, edges: DataFrame) -> DataFrame:
     return found.join(edges.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti").select("source_id", "target_id", F.lit("references").alias("rel_type"), "fk").distinct()
 
 
+#: What an element is, and what only its richest row says.
+_OWN = ["id", "name", "kind", "stereotype", "language", "file_path", "path", "line_start", "c4_level", "ord", "what", "container"]
+
+
 def merged(elements: DataFrame, richness: Column) -> DataFrame:
-    """One row for each id: the richest, of equals the first by ord."""
-    w = Window.partitionBy("id").orderBy(richness.desc(), "ord")
-    return elements.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+    """One row for each id: the richest, of equals the first by ord, with what the others add.
+
+    Lists are joined in that order without repeats; other details that the richest row lacks (null or empty) are those of
+    the first row that has them. No group's rows are gathered: only lists with entries are.
+    """
+    own = [c for c in elements.columns if c in _OWN and c not in ("id", "ord")]
+    rest = [c for c in elements.columns if c not in _OWN]
+    lists = [c for c in rest if elements.schema[c].dataType.typeName() == "array"]
+    plain = [c for c in rest if c not in lists]
+    place = elements.withColumn("rank_", -richness.cast("double"))
+    some = lambda c: F.col(c).isNotNull() & (F.col(c) != "") if elements.schema[c].dataType.typeName() == "string" else F.col(c).isNotNull()
+    whole = place.groupBy("id").agg(
+        F.min(F.struct("rank_", "ord", *own, *rest)).alias("best"), *(F.min(F.when(some(c), F.struct("rank_", "ord", c))).alias(f"first_{c}") for c in plain),
+        *(F.array_sort(F.collect_set(F.when(F.size(c) > 0, F.struct("rank_", "ord", c)))).alias(f"all_{c}") for c in lists),
+    )
+
+    def detail(c: str) -> Column:
+        if c in lists:
+            return F.when(F.size(f"all_{c}") < 2, F.coalesce(F.get(F.transform(f"all_{c}", lambda r: r[c]), F.lit(0)), f"best.{c}")).otherwise(F.array_distinct(F.flatten(F.transform(f"all_{c}", lambda r: r[c]))))
+        return F.coalesce(f"first_{c}.{c}", f"best.{c}") if c in plain else F.col(f"best.{c}") if c != "id" else F.col("id")
+
+    return whole.select(*(detail(c).alias(c) for c in elements.columns))
 
 
 # -- differences
@@ -164,10 +187,11 @@ def difference(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def edge_difference(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Edges by (source, target, type) that came (added) or went (removed)."""
+    """Edges by (source, target, type) that came (added) or went (removed): each side is read once and meets in one aggregation."""
     key = ["source_id", "target_id", "rel_type"]
-    a, b = old.select(*key).distinct(), new.select(*key).distinct()
-    return b.join(a, key, "left_anti").withColumn("change_type", F.lit("added")).unionByName(a.join(b, key, "left_anti").withColumn("change_type", F.lit("removed")))
+    both = old.select(*key, F.lit(1).alias("side")).unionByName(new.select(*key, F.lit(2).alias("side")))
+    sides = both.groupBy(*key).agg(F.bit_or("side").alias("sides")).where("sides < 3")
+    return sides.select(*key, F.when(F.col("sides") == 2, "added").otherwise("removed").alias("change_type"))
 
 
 def difference_summary(changes: DataFrame) -> DataFrame:

@@ -71,20 +71,19 @@ def operations_overlay(elements: DataFrame, caps: dict[str, int] | None = None)
 
 def fine_grain(elements: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """section (paragraph, perform, field, copy), source and target inside and around the seed programs (id)."""
-    inside = lambda c: F.exists(F.array(c), lambda x: x.isNotNull())
-    e = edges.join(seeds.select(F.col("id").alias("seed")), F.col("source_id").startswith(F.col("seed")))
+    program = F.regexp_replace("source_id", r"\.(para|field)\..*$", "")  # an edge belongs to the program that its source lies in
+    e = edges.withColumn("seed", program).join(seeds.select(F.col("id").alias("seed")), "seed", "left_semi")
     section = F.when((F.col("rel_type") == "composes") & F.col("target_id").contains(".para."), "paragraph").when(F.col("rel_type") == "performs", "perform").when(F.col("target_id").contains(".field."), "field").when(F.col("rel_type") == "copies", "copy")
-    return e.select(section.alias("section"), "source_id", "target_id").where(F.col("section").isNotNull() & inside("target_id")).distinct()
+    return e.select(section.alias("section"), "source_id", "target_id").where("section IS NOT NULL AND target_id IS NOT NULL").distinct()
 
 
 def tests_of(elements: DataFrame, files: DataFrame, names: DataFrame, limit: int = 12) -> DataFrame:
-    """Test files (path, text) that name the elements (name) or their bases."""
-    wanted = names.select("name", N.base_name(F.col("name")).alias("base")).distinct()
+    """Test files (path, text) whose words or whose own name, its test marks aside, are the elements' (name) or their bases."""
+    wanted = names.select(F.explode(F.array("name", N.base_name(F.col("name")))).alias("word")).distinct()
     tests = files.where(N.is_test_path(F.col("path")))
-    words = tests.select("path", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\w{3,})"), F.lit(1)))).alias("word"))
-    hit = words.join(wanted, (F.col("word") == F.col("name")) | (F.col("word") == F.col("base")), "left_semi").select("path")
-    in_path = tests.join(wanted, F.col("path").contains(F.col("base")), "left_semi").select("path")
-    return hit.union(in_path).distinct().orderBy("path").limit(limit)
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]*?)(\.[A-Za-z]+)*$", 1), r"^[Tt]est_?|(\.(test|spec)|_?[Tt]ests?|_?[Ss]pec)$", "")
+    words = F.array_distinct(F.array_append(F.regexp_extract_all("text", F.lit(r"(\w{3,})"), F.lit(1)), stem))
+    return tests.select("path", F.explode(words).alias("word")).join(wanted, "word", "left_semi").select("path").distinct().orderBy("path").limit(limit)
 
 
 def cautions(elements: DataFrame, affected: DataFrame, seeds: DataFrame) -> DataFrame:

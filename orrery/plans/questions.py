@@ -30,7 +30,11 @@ def q1(s, d):
     return Q.structured(lens.elements(s, d), lens.relationships(s, d), stereotype="entity")
 
 
-@query("Q2_reach", f"{L} SELECT 2 AS hops, c.id || ' -> ' || n.id || ' -> ' || g.id AS path, c.name || ' -> ' || n.name || ' -> ' || g.name AS names FROM elements c JOIN rels a ON a.source_id = c.id JOIN elements n ON n.id = a.target_id JOIN rels b ON b.source_id = n.id JOIN elements g ON g.id = b.target_id WHERE c.id = 'customer:3' AND g.stereotype = 'Entity'")
+@query(
+    "Q2_reach",
+    """SELECT 2 AS hops, 'customer:3 -> nation:' || n_nationkey || ' -> region:' || r_regionkey AS path, c_name || ' -> ' || n_name || ' -> ' || r_name AS names
+FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE c_custkey = 3""",
+)
 def reach(s, d):
     e, r = lens.elements(s, d), lens.relationships(s, d)
     out = None

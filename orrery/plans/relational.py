@@ -207,6 +207,19 @@ def j5(s, d):
     return R.fk_edges(e.unionByName(extra), R_(s, d))
 
 
+@query(
+    "E20_merge_details",
+    f"""{L} SELECT id, name, coalesce(table_name, 'T' || ord) AS table_name, array_to_string(list_distinct_in_order, ',') AS columns FROM (
+  SELECT id, name, ord, table_name, columns || list_filter(['X', 'REGION_ID', 'NAME'], lambda x: NOT list_contains(columns, x)) AS list_distinct_in_order FROM elements)""",
+)
+def e20(s, d):
+    """Every element beside a poorer row of the same id, with another name, a table and more columns."""
+    e = E(s, d).select("id", "name", "ord", "table_name", "columns")
+    more = e.select("id", F.lit("poorer").alias("name"), (F.col("ord") + 1).alias("ord"), F.concat(F.lit("T"), "ord").alias("table_name"), F.array(F.lit("X"), F.lit("REGION_ID"), F.lit("NAME")).alias("columns"))
+    both = e.withColumn("rich", F.lit(2)).unionByName(more.withColumn("rich", F.lit(1)))
+    return R.merged(both, F.col("rich")).select("id", "name", "table_name", F.array_join("columns", ",").alias("columns"))
+
+
 @query(
     "W4_S5_merge_by_id",
     f"""{L}, v AS (SELECT id, ord, name, length(name) AS rich FROM elements WHERE stereotype = 'Service' UNION ALL SELECT id, ord + 1, name || '+', length(name) + (ord % 3) - 1 FROM elements WHERE stereotype = 'Service')
@@ -273,7 +286,7 @@ _REPOS = f"""{L}, u AS (
 
 def _repos(s, d):
     e, r = E(s, d), R_(s, d)
-    return R.aggregated({"even": (e.where("ord % 2 = 0"), r.limit(0)), "odd": (e.where("ord % 2 = 1"), r.limit(0))})
+    return R.aggregated({"even": (e.where("ord % 2 = 0"), r), "odd": (e.where("ord % 2 = 1"), r)})
 
 
 @query("U3_aggregate_repos", f"{_REPOS} SELECT * FROM u")
@@ -281,6 +294,11 @@ def u3(s, d):
     return _repos(s, d)[0].select("id", "source_slug", "container", "c4_level")
 
 
+@query("U3_aggregate_edges", f"{L} SELECT k || '::' || source_id AS source_id, k || '::' || target_id AS target_id, rel_type FROM rels, (SELECT unnest(['even', 'odd']) AS k)")
+def u3_edges(s, d):
+    return _repos(s, d)[1]
+
+
 @query("A16_repo_counts", f"{_REPOS} SELECT source_slug, count(*) AS n FROM u GROUP BY 1")
 def a16(s, d):
     return R.counted(_repos(s, d)[0], "source_slug")

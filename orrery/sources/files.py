@@ -10,16 +10,34 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 
 
+#: Endings of the files that have a language.
+ENDINGS = "java ts tsx js jsx py cbl cob cpy dcl jcl proc bms".split()
+
+
+def _roots(spark: SparkSession, base: str, include: list[str] | None) -> list[str]:
+    """The roots that exist, without those inside another one: no file is listed twice."""
+    found: list[str] = []
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for root in sorted({f"{base}/{i}".rstrip("/") for i in include or [""]}):
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        if not any(root == r or root.startswith(r + "/") for r in found) and path.getFileSystem(conf).exists(path):
+            found.append(root)
+    return found
+
+
 def source_tree(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """Every source file below the roots once: path relative to ``root``, language and whole text. Excluded paths aren't opened."""
+    """Every source file below the roots once: path relative to ``root``, language and whole text.
+
+    Roots that don't exist are passed over. Only files with a known ending are opened; excluded ones are dropped by path.
+    """
     base = root.rstrip("/")
-    roots = [f"{base}/{i}" for i in include] if include else [base]
-    listed = None
-    for r in roots:
-        df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(r).select("path", "content")
-        listed = df if listed is None else listed.unionByName(df)
-    relative = F.regexp_replace("path", "^(file:)?/*" + base.lstrip("/").replace(".", r"\.") + "/", "")
-    out = listed.select(relative.alias("path"), "content").dropDuplicates(["path"]).withColumn("language", N.language_of(F.col("path"))).where("language IS NOT NULL")
+    roots = _roots(spark, base, include)
+    if not roots:
+        return spark.createDataFrame([], "path string, language string, text string")
+    endings = ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in ENDINGS)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{endings}}}").load(roots).select("path", "content")
+    relative = F.regexp_replace("path", "^(file:)?/*" + re.escape(base.lstrip("/")) + "/", "")
+    out = listed.select(relative.alias("path"), "content").withColumn("language", N.language_of(F.col("path"))).where("language IS NOT NULL")
     if exclude:
         out = out.where(~N.excluded(F.col("path"), exclude))
     return out.select("path", "language", F.col("content").cast("string").alias("text"))
