@@ -172,7 +172,7 @@ def container_of(container: Column, path: Column) -> Column:
 
 def by_annotation(annotations: Column, language: Column) -> Column:
     """What the first telling annotation says."""
-    short = F.transform(annotations, lambda a: F.regexp_replace(F.regexp_replace(a, r"\(.*$", ""), r"^@|^.*\.", ""))
+    short = F.transform(annotations, lambda a: F.regexp_replace(F.regexp_replace(a, r"\(.*$", ""), r"^@?(?:.*\.)?", ""))
     out = None
     for lang, pairs in ANNOTATIONS.items():
         table = F.create_map(*[F.lit(x) for p in pairs.split() for a, b in [p.split(":")] for x in (a, b.replace("_", " "))])

@@ -105,6 +105,26 @@ def suggestions(affected: DataFrame, changed: DataFrame) -> DataFrame:
     return whole.select("id", F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("s")).select("id", "s.ord", "s.text")
 
 
+def surroundings(affected: DataFrame, changed: DataFrame, elements: DataFrame, most: int = 6) -> DataFrame:
+    """id, ord and text: whom a change (id, name, container) concerns beyond its code: other containers, owners, critical paths.
+
+    ``affected`` is the impact of all changed elements; owner and critical_paths are used where ``elements`` has them.
+    """
+    reached = affected.select("id").join(elements, "id")
+    listed = lambda c: F.array_join(F.slice(F.array_sort(F.collect_set(c)), 1, most), ", ")
+    own = lambda name: F.col(name) if name in elements.columns else F.lit(None).cast("string")
+    paths = F.explode("critical_paths") if "critical_paths" in elements.columns else F.lit(None).cast("string")
+    critical = reached.select(paths.alias("p")).agg(listed("p").alias("critical"))
+    # A container counts for a change if it isn't the change's own.
+    per = reached.groupBy("container").agg(F.count(F.lit(1)).alias("n")).where("container IS NOT NULL")
+    others = changed.select("id", F.col("container").alias("mine")).join(per, F.col("mine").isNull() | (F.col("mine") != F.col("container"))).groupBy("id").agg(listed(F.concat("container", F.lit(" ("), "n", F.lit(")"))).alias("containers"))
+    owners = reached.select(own("owner").alias("o")).agg(listed("o").alias("owners"))
+    whole = changed.select("id", "name").join(others, "id", "left").crossJoin(F.broadcast(owners)).crossJoin(F.broadcast(critical))  # a row each
+    line = lambda k, c, text: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.struct(F.lit(k).alias("ord"), F.concat(F.lit(text), "name", F.lit(": "), c).alias("text")))
+    lines = F.array(line(6, "containers", "Tell the containers beyond "), line(7, "owners", "Ask the owners around "), line(8, "critical", "Guard the critical paths through "))
+    return whole.select("id", F.explode(F.filter(lines, lambda x: x.isNotNull())).alias("s")).select("id", "s.ord", "s.text")
+
+
 def dependencies(elements: DataFrame, edges: DataFrame, wanted: str, direction: str = "both") -> DataFrame:
     """One hop from every element that ``wanted`` names (whole name or part of the id, without case): direction, rel_type, id, name."""
     low = wanted.lower()

@@ -162,6 +162,69 @@ def merged_capabilities(existing: DataFrame, found: DataFrame) -> DataFrame:
     return every.withColumn("k", F.row_number().over(order)).where("k = 1").drop("k")
 
 
+def synced(existing: DataFrame, elements: DataFrame) -> DataFrame:
+    """The catalogue after a new discovery in ``elements``."""
+    return merged_capabilities(existing, capabilities(elements))
+
+
+def in_playbook_order(found: DataFrame, limit: int | None = None) -> DataFrame:
+    """Capabilities in the order of playbooks: approved ones first, those missing in code last, then by title; k counts from 1."""
+    missing = F.col("missing_in_code") if "missing_in_code" in found.columns else F.lit(False)
+    by = [F.when(F.col("status") == "approved", 0).otherwise(1), missing.cast("int"), F.lower("title"), F.col("id")]
+    first = found.orderBy(*by).limit(limit) if limit is not None else found
+    # A catalogue is as large as the number of entry points at most, and the window only numbers what a report asks for.
+    return first.withColumn("k", F.row_number().over(Window.orderBy(*by)))
+
+
+def matching_capabilities(found: DataFrame, wanted: str) -> DataFrame:
+    """The capabilities with this id, a title that contains it or this element, without case; rank says which (0, 1, 2)."""
+    low = wanted.strip().lower()
+    rank = F.when(F.lower("id") == low, 0).when(F.lower("title").contains(low), 1).when(F.lower("element") == low, 2)
+    return found.withColumn("rank", rank).where("rank IS NOT NULL") if low else found.withColumn("rank", F.lit(0)).limit(0)
+
+
+def match_capability(found: DataFrame, wanted: str) -> DataFrame:
+    """The one capability that is meant: the first in playbook order among those that match."""
+    return in_playbook_order(matching_capabilities(found, wanted).drop("rank"), 1).drop("k")
+
+
+def with_tables(found: DataFrame, elements: DataFrame, edges: DataFrame) -> DataFrame:
+    """Capabilities with the file of their element and the tables related to it (joined by commas)."""
+    from .graph import related_tables
+
+    own = elements.where(F.col("stereotype").isin(ENTRY)).groupBy(F.col("name").alias("element"), "stereotype").agg(F.min_by(F.struct("id", "file_path"), "ord").alias("e")).select("element", "stereotype", F.col("e.id").alias("entry_id"), "e.file_path")
+    placed = found.join(own, ["element", "stereotype"], "left")
+    tables = related_tables(elements, edges, placed.where("entry_id IS NOT NULL").select(F.col("entry_id").alias("id"))).select("entry_id", "tables")
+    return placed.join(tables, "entry_id", "left").select(*found.columns, "file_path", F.coalesce("tables", F.lit("")).alias("related_tables"))
+
+
+def unassigned(elements: DataFrame, min_size: int = 2, most: int = 100) -> DataFrame:
+    """Elements in no domain, or in a package of fewer than ``min_size``: the first ``most`` by name and id."""
+    intent = F.get("domains", F.lit(0)) if "domains" in elements.columns else F.lit(None).cast("string")
+    token = N.package_token(F.col("file_path"), F.col("language"))
+    named = elements.select("id", "name", F.coalesce(intent, "container", token).alias("domain"), (intent.isNotNull() | F.col("container").isNotNull()).alias("told"))
+    size = named.where("domain IS NOT NULL").groupBy("domain").agg(F.count(F.lit(1)).alias("n"), F.max("told").alias("any"))
+    small = named.join(size, "domain", "left").where(F.col("domain").isNull() | ((F.col("n") < min_size) & ~F.col("any")))
+    return small.select("id", "name", "domain").orderBy("name", "id").limit(most)
+
+
+def from_exports(parts: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """Entities and associations of the canonical data model of several repositories' exports (by slug: elements, edges)."""
+    from .relational import aggregated
+
+    entities = cdm_entities(aggregated(parts)[0])
+    return entities, cdm_associations(entities)
+
+
+def merged_events(parts: dict[str, DataFrame]) -> DataFrame:
+    """Event edges of several repositories in one table, each with its slug."""
+    out = None
+    for slug, events in parts.items():
+        one = events.withColumn("source_slug", F.lit(slug))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # -- intents
 
 
@@ -264,10 +327,34 @@ def call_sites(files: DataFrame) -> DataFrame:
     return files.select(F.col("path").alias("file_path"), F.explode(F.concat(*found)).alias("c")).select("file_path", "c.method", "c.url", N.url_path(F.col("c.url")).alias("path")).distinct()
 
 
+def _yaml_as_json(specs: DataFrame) -> DataFrame:
+    """Documents (service, text) in YAML as JSON; those that can't be read are left out."""
+    import pyarrow as pa
+
+    def worker(batches):
+        import json
+
+        import yaml
+
+        for batch in batches:
+            rows = []
+            for service, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    rows.append((service, json.dumps(yaml.safe_load(text or ""), default=str)))
+                except (yaml.YAMLError, ValueError, RecursionError):
+                    continue
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["service", "text"])
+
+    return specs.mapInArrow(worker, "service string, text string")
+
+
 def operations(specs: DataFrame) -> DataFrame:
-    """service, method and path of every operation of OpenAPI documents in JSON (service, text); malformed ones have none."""
+    """service, method and path of every operation of OpenAPI documents in JSON or YAML (service, text); malformed ones have none."""
+    json = F.ltrim(F.coalesce("text", F.lit(""))).startswith("{")
+    every = specs.select("service", "text")
+    every = every.where(json).unionByName(_yaml_as_json(every.where(~json)))
     paths = F.from_json("text", "struct<paths: map<string, map<string, string>>>")["paths"]
-    each = specs.select("service", F.explode(paths).alias("path", "ops"))
+    each = every.select("service", F.explode(paths).alias("path", "ops"))
     verbs = each.select("service", "path", F.explode(F.map_keys("ops")).alias("method")).where(F.lower("method").isin([r for r in N.ROUTES if r != "api_route"]))
     return verbs.select("service", F.upper("method").alias("method"), N.url_path(F.col("path")).alias("path"))
 

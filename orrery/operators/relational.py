@@ -135,6 +135,23 @@ def fk_edges(elements: DataFrame, edges: DataFrame) -> DataFrame:
     return found.join(edges.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti").select("source_id", "target_id", F.lit("references").alias("rel_type"), "fk").distinct()
 
 
+def host_pass(elements: DataFrame, edges: DataFrame) -> DataFrame:
+    """Mainframe elements with what resolved edges add: linked programs are services, executed ones batch jobs.
+
+    Only elements that are Component, Batch Job, Service or Repository are judged anew, by their traits and edges; without
+    traits the column ``traits`` may be missing.
+    """
+    linked = edges.where("rel_type IN ('cics_link', 'cics_xctl', 'cics_start')").select(F.col("target_id").alias("id"), F.lit(True).alias("linked_"))
+    executed = edges.where("rel_type = 'executes'").select(F.col("target_id").alias("id"), F.lit(True).alias("executed_"))
+    marks = linked.unionByName(executed, allowMissingColumns=True).groupBy("id").agg(F.coalesce(F.max("linked_"), F.lit(False)).alias("linked_"), F.coalesce(F.max("executed_"), F.lit(False)).alias("executed_"))
+    trait = lambda t: F.coalesce(F.array_contains("traits", t), F.lit(False)) if "traits" in elements.columns else F.lit(False)
+    kind = lambda *ks: F.coalesce(F.col("kind").isin(*ks), F.lit(False))
+    flags = {"copybook": trait("copybook") | kind("copybook", "dclgen"), "maps": trait("maps"), "queue": trait("queue"), "data": trait("data"), "linked": F.coalesce("linked_", F.lit(False)), "executed": F.coalesce("executed_", F.lit(False)), "job": kind("jcl_job", "jcl_step")}
+    judged = F.col("language").isin("cobol", "jcl") & F.col("stereotype").isin("Component", "Batch Job", "Service", "Repository") & kind("program", "program_ref", "copybook", "dclgen", "jcl_job", "jcl_step")
+    again = F.when(judged, N.host_stereotype(flags)).otherwise(F.col("stereotype"))
+    return elements.join(marks, "id", "left").withColumn("stereotype", again).select(*elements.columns)
+
+
 #: What an element is, and what only its richest row says.
 _OWN = ["id", "name", "kind", "stereotype", "language", "file_path", "path", "line_start", "c4_level", "ord", "what", "container"]
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import render
@@ -38,9 +38,34 @@ def save_yaml(path: str, data: dict, overwrite: bool = True) -> bool:
     return True
 
 
-def catalogue(df: DataFrame) -> dict:
-    """Capabilities as the mapping that is kept in YAML."""
-    return {"capabilities": [r.asDict() for r in df.orderBy("id").collect()]}
+CATALOGUE = (".orrery/capabilities.yaml", ".orrery/capabilities.yml")
+
+
+def catalogue(df: DataFrame, most: int = 10_000) -> dict:
+    """Capabilities as the mapping that is kept in YAML, the first ``most`` by id: a file for people to read and edit."""
+    return {"capabilities": [r.asDict() for r in df.orderBy("id").limit(most).collect()]}
+
+
+def resolved_catalogue(spark: SparkSession, folder: str, elements: DataFrame) -> DataFrame:
+    """The catalogue that a folder keeps; where it keeps none, what is found in the elements. Nothing is written."""
+    from .operators import model as M
+
+    rows = load_yaml(folder, *CATALOGUE).get("capabilities") or []
+    if not rows:
+        return M.capabilities(elements).withColumn("missing_in_code", F.lit(False))
+    names = ["id", "title", "element", "stereotype", "status"]
+    given = [(*(r.get(n) for n in names), bool(r.get("missing_in_code"))) for r in rows]
+    return spark.createDataFrame(given, ", ".join(f"{n} string" for n in names) + ", missing_in_code boolean")
+
+
+def sync_catalogue(spark: SparkSession, folder: str, elements: DataFrame, persist: bool = True) -> DataFrame:
+    """The folder's catalogue after a new discovery: titles and states that people gave stay; written unless not to ``persist``."""
+    from .operators import model as M
+
+    out = M.synced(resolved_catalogue(spark, folder, elements), elements)
+    if persist:
+        save_yaml(str(Path(folder, CATALOGUE[0])), catalogue(out))
+    return out
 
 
 def harvest(elements: DataFrame, files: DataFrame, max_comments: int = 12, max_rules: int = 20) -> DataFrame:
@@ -114,13 +139,42 @@ def playbook(elements: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int
     return out.select("section", "ord", "text")
 
 
+def enriched(book: DataFrame, elements: DataFrame, edges: DataFrame, seeds: DataFrame, files: DataFrame, depth: int = 4) -> DataFrame:
+    """A playbook with what source files (path, language, text) add: tests, hints, comments, candidate rules and operations."""
+    own = elements.join(seeds, "id", "left_semi")
+    affected = G.impact(elements, edges, seeds, depth)
+    near = elements.join(affected.select("id").union(seeds.select("id")).distinct(), "id", "left_semi")
+    notes, runs = harvest(own, files), operations_overlay(near)
+    parts = [
+        _tagged(tests_of(elements, files, own), "tests", F.col("path")), _tagged(G.suggestions(affected, own), "hints", F.col("text"), "ord"), _tagged(G.surroundings(affected, own, elements), "hints", F.col("text"), "ord"),
+        _tagged(notes, "notes", F.concat("section", F.lit(": "), "text")), _tagged(runs, "operations", F.concat("section", F.lit(": "), "name"), "k"),
+    ]
+    for p in parts:
+        book = book.unionByName(p.select("section", "ord", "text"))
+    return book
+
+
+def step_programs(elements: DataFrame, edges: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """What operations run: section (step, transaction), name and the program that it executes or starts.
+
+    ``texts`` (text) are resource definitions that name the programs of transactions.
+    """
+    steps = edges.where("rel_type = 'executes'").join(elements.where("kind = 'jcl_step'").select(F.col("id").alias("source_id"), "name"), "source_id")
+    program = F.regexp_replace("target_id", r"^cobol\.", "")
+    out = steps.select(F.lit("step").alias("section"), F.col("source_id").alias("name"), program.alias("program"))
+    if texts is not None:
+        told = texts.select(F.explode(T.transactions(F.col("text"))).alias("t")).select("t.*")
+        out = out.unionByName(told.select(F.lit("transaction").alias("section"), F.col("transaction").alias("name"), "program"))
+    return out.distinct()
+
+
 def explain(book: DataFrame, title: str) -> str:
     """A narrative made of a playbook's lines only."""
     rows = book.orderBy("section", "ord", "text").limit(400).collect()
     by: dict[str, list[str]] = {}
     for r in rows:
         by.setdefault(r["section"], []).append(r["text"])
-    lead = {"read": "Start reading at", "affected": "A change reaches", "slice": "It can be moved out with", "tables": "It touches the tables", "caution": "Mind"}
+    lead = {"read": "Start reading at", "affected": "A change reaches", "slice": "It can be moved out with", "tables": "It touches the tables", "caution": "Mind", "tests": "These tests cover it", "hints": "Before a change", "notes": "Its sources say", "operations": "Operations run it by"}
     return f"# {title}\n\n" + "\n\n".join(f"{lead[s]}: {'; '.join(xs[:8])}." for s, xs in by.items())
 
 

@@ -279,3 +279,13 @@ def reading_path(spark, d):
 @query("J1_valid_edges", f"{L} SELECT DISTINCT source_id, target_id, rel_type FROM rels WHERE source_id <> target_id AND source_id IN (SELECT id FROM elements) AND target_id IN (SELECT id FROM elements)")
 def valid_edges(spark, d):
     return graph.valid_edges(lens.relationships(spark, d), lens.elements(spark, d))
+
+
+@query(
+    "G5_surroundings",
+    "SELECT 'nation:3' AS id, 6 AS ord, 'Tell the containers beyond ' || n_name || ': ' || (SELECT string_agg(x, ', ' ORDER BY x) FROM (SELECT lower(c_mktsegment) || ' (' || count(*) || ')' AS x FROM customer WHERE c_nationkey = 3 GROUP BY c_mktsegment ORDER BY x LIMIT 6)) AS text FROM nation WHERE n_nationkey = 3",
+)
+def around(spark, d):
+    e, r = lens.elements(spark, d), lens.relationships(spark, d)
+    hit = graph.impact(e, r, ids(spark, "nation:3"), 1)
+    return graph.surroundings(hit, e.where("id = 'nation:3'"), e)

@@ -282,3 +282,73 @@ def j8(s, d):
 @query("A11_M7_container_names", f"{L}, e AS (SELECT coalesce(container, split_part(file_path, '/', 1)) AS container, stereotype, name FROM elements) SELECT container, stereotype, count(*) AS n, array_to_string(list_sort(list(DISTINCT name))[1:12], ',') AS names FROM e GROUP BY 1, 2")
 def names_by_container(s, d):
     return M.report_rows(E(s, d))
+
+
+_NUMBERED = "row_number() OVER (ORDER BY (status <> 'approved')::INT, missing_in_code::INT, lower(title), id)::INT AS k"
+_OLD = """old AS (SELECT 'c-' || s_suppkey AS id, 'Supply ' || s_suppkey AS title, s_name AS element, CASE WHEN s_suppkey % 3 = 0 THEN 'approved' ELSE 'proposed' END AS status, s_suppkey % 5 = 0 AS missing_in_code FROM supplier)"""
+
+
+def _old(s, d):
+    return lens.load(s, d, "supplier").selectExpr("'c-' || s_suppkey AS id", "'Supply ' || s_suppkey AS title", "s_name AS element", "CASE WHEN s_suppkey % 3 = 0 THEN 'approved' ELSE 'proposed' END AS status", "s_suppkey % 5 = 0 AS missing_in_code")
+
+
+@query("W3_playbook_order", f"WITH {_OLD} SELECT id, {_NUMBERED} FROM old QUALIFY k <= 7")
+def w3(s, d):
+    return M.in_playbook_order(_old(s, d), 7).select("id", "k")
+
+
+@query("M5_matching_capabilities", f"WITH {_OLD} SELECT id, CASE WHEN id = 'supply 1' THEN 0 WHEN lower(title) LIKE '%supply 1%' THEN 1 ELSE 2 END AS rank FROM old WHERE id = 'supply 1' OR lower(title) LIKE '%supply 1%' OR lower(element) = 'supply 1'")
+def m5(s, d):
+    return M.matching_capabilities(_old(s, d), " Supply 1").select("id", "rank")
+
+
+@query("C14_match_capability", f"WITH {_OLD} SELECT id, title FROM old WHERE lower(title) LIKE '%supply 1%' ORDER BY (status <> 'approved')::INT, missing_in_code::INT, lower(title), id LIMIT 1")
+def c14(s, d):
+    return M.match_capability(_old(s, d), "supply 1").select("id", "title")
+
+
+@query(
+    "C3_synced_capabilities",
+    f"""{L}, {_CAPS} SELECT id, CASE WHEN id = 'supplier-000000001' THEN 'Kept' ELSE title END AS title, CASE WHEN id = 'supplier-000000001' THEN 'approved' ELSE status END AS status, false AS missing_in_code FROM caps
+UNION ALL SELECT 'gone', 'Gone', 'approved', true""",
+)
+def c3(s, d):
+    old = s.createDataFrame([("supplier-000000001", "Kept", "Supplier#000000001", "approved"), ("gone", "Gone", "Nobody", "approved")], "id string, title string, element string, status string")
+    return M.synced(old, E(s, d)).select("id", "title", "status", "missing_in_code")
+
+
+@query("C2_capability_tables", "SELECT s_name AS element, 'services/supply/worker_' || s_suppkey || '.py' AS file_path, r_name AS related_tables FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
+def c2_tables(s, d):
+    """Workers' own walks: without the edges back to customers, a supplier leads to its nation's region."""
+    workers = E(s, d).where("stereotype <> 'Batch Job' AND stereotype NOT IN ('Controller', 'Gateway')")
+    edges = R_(s, d).where("rel_type IN ('injects', 'accesses_table') AND source_id NOT LIKE 'orders%'")
+    return M.with_tables(M.capabilities(workers), workers, edges).select("element", "file_path", "related_tables")
+
+
+@query("A7_unassigned", "SELECT 'x:' || s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 10 = 0 THEN 'only' || s_suppkey END AS domain FROM supplier WHERE s_suppkey % 5 = 0 ORDER BY name, id LIMIT 100")
+def a7_unassigned(s, d):
+    """A tenth of the elements have a package of their own, a tenth none, the others one in common."""
+    path = F.expr("CASE WHEN s_suppkey % 10 = 0 THEN 'packages/only' || s_suppkey || '/a.py' WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'packages/all/a.py' END")
+    e = lens.load(s, d, "supplier").select(F.expr("'x:' || s_suppkey").alias("id"), F.col("s_name").alias("name"), path.alias("file_path"), F.lit("python").alias("language"), F.lit(None).cast("string").alias("container"))
+    return M.unassigned(e)
+
+
+@query("C12_cdm_from_exports", f"{L} SELECT lower(n) AS key, 2 * count(*) AS members FROM (SELECT coalesce(table_name, name) AS n FROM elements WHERE stereotype = 'Entity') GROUP BY 1")
+def c12(s, d):
+    e, r = E(s, d), R_(s, d)
+    return M.from_exports({"one": (e, r), "two": (e, r)})[0].select("key", "members")
+
+
+@query("U5_merged_events", "SELECT 'a' AS source_slug, e_type AS event, count(*) AS n FROM (SELECT event_type AS e_type FROM events) GROUP BY 2 UNION ALL SELECT 'b', event_type, count(*) FROM events GROUP BY 2")
+def u5(s, d):
+    events = lens.load(s, d, "events").select(F.col("event_type").alias("event"))
+    return M.merged_events({"a": events, "b": events}).groupBy("source_slug", "event").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("P14_freshness", f"SELECT 'c' || year(max(o_orderdate)) AS commit_sha, true AS fresh FROM orders")
+def p14(s, d):
+    from ..sources.store import is_fresh
+
+    heads = lens.load(s, d, "orders").select(F.year("o_orderdate").alias("y"), F.col("o_orderdate").alias("ts")).groupBy("y").agg(F.max("ts").alias("ts")).selectExpr("'snap-' || y AS snapshot_id", "'c' || y AS commit_sha", "ts")
+    years = [r[0] for r in heads.select("commit_sha").collect()]
+    return s.createDataFrame([(c, is_fresh(heads, c)) for c in years], "commit_sha string, fresh boolean").where("fresh")

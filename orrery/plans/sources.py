@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import names as N
 from ..functions import text as T
 from ..operators import relational as R
+from ..settings import Settings
 from ..sources import extract as X
 from ..sources import lens
 from .registry import query
@@ -256,3 +257,91 @@ def scan(s, d):
     repos = _files(s, d, "nation", "'src/Nation' || n_nationkey || 'Repository.java'", r"'package com.acme.geo;\npublic interface Nation' || n_nationkey || 'Repository extends JpaRepository<Nation, Long> {\n}\n'")
     both = X.parsed(_java(s, d).unionByName(repos))
     return R.resolve_names(X.edges_of(both), X.elements_of(both)).select("source_id", "target_id", "rel_type")
+
+
+_SETTINGS = Settings.of({
+    "stereotypes": {"java": [{"annotation": "deprecated", "stereotype": "Legacy"}, {"convention": "a/repos/**", "stereotype": "Store"}]},
+    "containers": [{"path": "src/main/java/com/acme/geo/*", "name": "geography"}, {"path": "services/supply/**", "name": "supply"}, {"path": "schema", "name": "tables"}],
+    "mainframe": {"stereotypes": [{"program": "part7", "stereotype": "Gateway"}, {"program_pattern": "PART1*", "stereotype": "Controller"}], "transactions": {"px01": "price1"}},
+})
+
+
+@query(
+    "M1_custom_stereotypes",
+    f"""{L} SELECT id, CASE WHEN ord % 11 = 0 THEN 'Legacy' WHEN ord % 5 = 0 THEN 'Service' WHEN ord % 3 = 0 THEN 'Store' ELSE 'Component' END AS stereotype FROM elements""",
+)
+def m1(s, d):
+    """Custom annotations come before built-in ones, custom folders before built-in ones but after the name."""
+    e = lens.elements(s, d)
+    none = F.array().cast("array<string>")
+    name = F.concat(F.lit("X"), F.regexp_extract("id", "[0-9]+", 0), F.when(F.col("ord") % 5 == 0, F.lit("ServiceImpl")).otherwise(F.lit("Thing")))
+    notes = F.when(F.col("ord") % 11 == 0, F.array(F.lit("Configuration"), F.lit("@x.Deprecated(y)"))).otherwise(none)
+    path = F.when(F.col("ord") % 3 == 0, "a/repos/b.java").otherwise("a/b.java")
+    java = F.lit("java")
+    return e.select("id", N.stereotype(java, name, path, notes, none, _SETTINGS.by_annotation(notes, java), _SETTINGS.by_convention(path, java)).alias("stereotype"))
+
+
+@query(
+    "P8_container_mappings",
+    f"""{L} SELECT id, CASE WHEN file_path LIKE 'src/main/java/com/acme/geo/%' THEN 'geography' WHEN file_path LIKE 'services/supply/%' THEN 'supply' WHEN file_path LIKE 'schema/%' THEN 'tables' END AS container FROM elements""",
+)
+def p8(s, d):
+    return lens.elements(s, d).select("id", _SETTINGS.container(F.col("file_path")).alias("container"))
+
+
+@query(
+    "E27_host_stereotypes",
+    """SELECT 'cobol.PART' || p_partkey AS id, CASE WHEN p_partkey = 7 THEN 'Gateway' WHEN p_partkey::VARCHAR LIKE '1%' THEN 'Controller'
+  WHEN p_size % 5 = 0 THEN 'UI Component' WHEN p_size % 5 = 1 THEN 'Gateway' WHEN p_size % 5 IN (2, 3) THEN 'Repository' ELSE 'Component' END AS stereotype FROM part""",
+)
+def e27(s, d):
+    """Programs with maps, queues, tables, files or nothing; overrides come first."""
+    body = r"""CASE p_size % 5 WHEN 0 THEN '           EXEC CICS SEND MAP(''M1'') END-EXEC.\n           EXEC SQL UPDATE SALES SET X = 1 END-EXEC.\n' WHEN 1 THEN '           CALL ''MQPUT'' USING X.\n'
+        WHEN 2 THEN '           EXEC SQL SELECT A INTO :B FROM STOCK END-EXEC.\n' WHEN 3 THEN '           READ CUST-FILE.\n' ELSE '           MOVE A TO B.\n' END"""
+    text = r"'       PROGRAM-ID. PART' || p_partkey || '.\n       PROCEDURE DIVISION.\n' || " + body
+    files = _files(s, d, "part", "'cbl/PART' || p_partkey || '.cbl'", text)
+    return X.elements_of(X.parsed(files), _SETTINGS).where("kind = 'program'").select("id", "stereotype")
+
+
+@query(
+    "C13_host_pass",
+    f"""SELECT 'cobol.PART' || p_partkey AS id, CASE WHEN p_partkey % 4 = 0 THEN 'Service' WHEN p_partkey % 4 = 1 THEN 'Batch Job' ELSE 'Component' END AS stereotype FROM part""",
+)
+def c13(s, d):
+    """Of four programs one is linked from another, one executed by a job, and two aren't known to be called."""
+    program = _files(s, d, "part", "'cbl/PART' || p_partkey || '.cbl'", r"'       PROGRAM-ID. PART' || p_partkey || '.\n       PROCEDURE DIVISION.\n' || CASE WHEN p_partkey % 4 = 3 THEN '           EXEC CICS LINK PROGRAM(''PART' || (p_partkey - 3) || ''') END-EXEC.\n' ELSE '' END")
+    extra = _files(s, d, "part", "'cbl/LAST' || p_partkey || '.cbl'", r"'       PROGRAM-ID. LAST' || p_partkey || '.\n       PROCEDURE DIVISION.\n           EXEC CICS LINK PROGRAM(''PART' || (p_partkey - p_partkey % 4) || ''') END-EXEC.\n'")
+    job = _files(s, d, "part", "'jcl/J' || p_partkey || '.jcl'", r"'//J' || p_partkey || ' JOB\n//S1 EXEC PGM=' || CASE WHEN p_partkey % 4 = 1 THEN 'PART' ELSE 'NONE' END || p_partkey || '\n'")
+    both = X.parsed(program.unionByName(extra).unionByName(job)).persist()
+    e = X.elements_of(both).where("kind <> 'program_ref'")
+    edges = R.resolve_names(X.edges_of(both), e)
+    return R.host_pass(e, edges).where("id LIKE 'cobol.PART%'").select("id", "stereotype")
+
+
+@query("E10_transactions", "SELECT 'cobol.START' || p_partkey AS source_id, CASE WHEN p_size % 2 = 0 THEN 'PRICE1' ELSE 'PX02' END AS target_id, 'cics_start' AS rel_type FROM part")
+def e10(s, d):
+    text = r"'       PROGRAM-ID. START' || p_partkey || '.\n       PROCEDURE DIVISION.\n           EXEC CICS START TRANSID(''' || CASE WHEN p_size % 2 = 0 THEN 'PX01' ELSE 'PX02' END || ''') END-EXEC.\n'"
+    return X.edges_of(X.parsed(_files(s, d, "part", "'cbl/S' || p_partkey || '.cbl'", text), transactions=_SETTINGS.transactions))
+
+
+@query("C5_step_programs", "SELECT 'step' AS section, 'jcl.J' || o_orderkey || '.S1' AS name, 'PGM' || o_custkey AS program FROM orders UNION ALL SELECT 'transaction', 'P' || s_suppkey, 'PROG' || s_nationkey FROM supplier")
+def c5_steps(s, d):
+    from ..overlays import step_programs
+
+    both = X.parsed(_files(s, d, "orders", "'jcl/J' || o_orderkey || '.jcl'", r"'//J' || o_orderkey || ' JOB\n//S1 EXEC PGM=PGM' || o_custkey || '\n'"))
+    texts = lens.load(s, d, "supplier").select(F.expr(r"'DEFINE TRANSACTION(P' || s_suppkey || ') GROUP(G)\n  PROGRAM(PROG' || s_nationkey || ')'").alias("text"))
+    return step_programs(X.elements_of(both), X.edges_of(both), texts)
+
+
+@query(
+    "F6_F9_F12_names",
+    """SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'supply-' || s_suppkey ELSE 'repo-' || s_suppkey END AS slug,
+  CASE WHEN s_nationkey = 3 THEN 'NationThree' WHEN s_suppkey % 3 = 0 THEN 'nation_' || s_nationkey ELSE 'Nation_' || s_nationkey END AS display, 'a|b|' || s_suppkey AS parts FROM supplier""",
+)
+def names(s, d):
+    key = F.expr("'nation_' || s_nationkey")
+    project = F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("Supply "), "s_suppkey")).otherwise("My Application")
+    path = F.concat(F.lit("/x/y/Repo_"), "s_suppkey", F.lit("/"))
+    shown = F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.concat(F.lit("Nation_"), "s_nationkey"))
+    key = F.when(F.col("s_nationkey") == 3, "nationthree").otherwise(key)
+    return lens.load(s, d, "supplier").select("s_suppkey", N.repo_slug(project, path).alias("slug"), N.display_name(key, shown, ["NationThree"]).alias("display"), F.array_join(N.split_list(F.concat(F.lit(" a, b,,"), "s_suppkey")), "|").alias("parts"))

@@ -50,7 +50,7 @@ class Settings:
     def by_annotation(self, annotations: Column, language: Column) -> Column:
         """What the first annotation with a rule says; names count without case, arguments and packages."""
         out = F.lit(None).cast("string")
-        short = F.transform(annotations, lambda a: F.lower(F.regexp_replace(F.regexp_replace(a, r"\(.*$", ""), r"^@|^.*\.", "")))
+        short = F.transform(annotations, lambda a: F.lower(F.regexp_replace(F.regexp_replace(a, r"\(.*$", ""), r"^@?(?:.*\.)?", "")))
         for lang, rules in self.stereotypes.items():
             told: dict[str, str] = {}
             for rule in rules:
@@ -58,7 +58,7 @@ class Settings:
                     told.setdefault(key.lower(), rule["stereotype"])
             if told:
                 table = F.create_map(*[F.lit(x) for kv in told.items() for x in kv])
-                first = F.get(F.filter(F.transform(short, lambda a, table=table: table[a]), lambda x: x.isNotNull()), F.lit(0))
+                first = F.get(F.filter(F.transform(short, table.getItem), lambda x: x.isNotNull()), F.lit(0))
                 out = F.when(language == lang, first).otherwise(out)
         return out
 

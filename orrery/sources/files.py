@@ -25,19 +25,22 @@ def _roots(spark: SparkSession, base: str, include: list[str] | None) -> list[st
     return found
 
 
-def source_tree(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+def source_tree(spark: SparkSession, root: str, include: list[str] | None = None, exclude: list[str] | None = None, endings: list[str] | None = None) -> DataFrame:
     """Every source file below the roots once: path relative to ``root``, language and whole text.
 
-    Roots that don't exist are passed over. Only files with a known ending are opened; excluded ones are dropped by path.
+    Roots that don't exist are passed over. Only files with a known ending (or one of ``endings``, whatever their language)
+    are opened; excluded ones are dropped by path.
     """
     base = root.rstrip("/")
     roots = _roots(spark, base, include)
     if not roots:
         return spark.createDataFrame([], "path string, language string, text string")
-    endings = ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in ENDINGS)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{endings}}}").load(roots).select("path", "content")
+    globs = ",".join("".join(f"[{c}{c.upper()}]" for c in e) for e in endings or ENDINGS)
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{globs}}}").load(roots).select("path", "content")
     relative = F.regexp_replace("path", "^(file:)?/*" + re.escape(base.lstrip("/")) + "/", "")
-    out = listed.select(relative.alias("path"), "content").withColumn("language", N.language_of(F.col("path"))).where("language IS NOT NULL")
+    out = listed.select(relative.alias("path"), "content").withColumn("language", N.language_of(F.col("path")))
+    if not endings:
+        out = out.where("language IS NOT NULL")
     if exclude:
         out = out.where(~N.excluded(F.col("path"), exclude))
     return out.select("path", "language", F.col("content").cast("string").alias("text"))

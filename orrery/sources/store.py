@@ -54,3 +54,9 @@ def load_export(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         doc = spark.read.json(path, multiLine=True)
         return doc.select(F.explode("elements").alias("e")).select("e.*"), doc.select(F.explode("relationships").alias("r")).select("r.*")
     return spark.read.json(f"{path}/elements"), spark.read.json(f"{path}/relationships")
+
+
+def is_fresh(heads: DataFrame, commit: str | None) -> bool:
+    """Whether the latest snapshot is of this commit; without a commit or a snapshot it isn't."""
+    rows = latest_first(heads, 1).select("commit_sha").collect()
+    return bool(commit and rows and rows[0][0] == commit)

@@ -111,3 +111,76 @@ def test_the_rest_stands_alone(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'G2_impact' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q); assert set(e.oracle_sql()) <= set(q)"
     done = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
+
+
+HOST = {
+    "cbl/ASKCUST.cbl": "       PROGRAM-ID. ASKCUST.\n       PROCEDURE DIVISION.\n       MAIN-LINE.\n           EXEC CICS SEND MAP('CUSTM') END-EXEC.\n           EXEC CICS LINK PROGRAM('GETCUST') END-EXEC.\n           EXEC CICS LINK PROGRAM('CALCPRC') END-EXEC.\n",
+    "cbl/GETCUST.cbl": "       PROGRAM-ID. GETCUST.\n       PROCEDURE DIVISION.\n       MAIN-LINE.\n           EXEC SQL SELECT A INTO :B FROM CUST END-EXEC.\n           EXEC SQL UPDATE CUST SET A = 1 END-EXEC.\n",
+    "cbl/CALCPRC.cbl": "       PROGRAM-ID. CALCPRC.\n       PROCEDURE DIVISION.\n       MAIN-LINE.\n           ADD 1 TO X.\n",
+    "cbl/SUMS.cbl": "       PROGRAM-ID. SUMS.\n       PROCEDURE DIVISION.\n       MAIN-LINE.\n           ADD 1 TO X.\n",
+    "cbl/SENDQ.cbl": "       PROGRAM-ID. SENDQ.\n       PROCEDURE DIVISION.\n       MAIN-LINE.\n           CALL 'MQPUT' USING X.\n           EXEC CICS START TRANSID('CP01') END-EXEC.\n",
+    "cbl/VSAMRD.cbl": "       PROGRAM-ID. VSAMRD.\n       PROCEDURE DIVISION.\n       MAIN-LINE.\n           READ CUST-FILE.\n",
+    "cpy/CUSTREC.cpy": "       01  CUST-REC.\n           05  CUST-ID PIC 9(5).\n",
+    "jcl/NIGHT.jcl": "//NIGHT JOB A\n//S1 EXEC PGM=SUMS\n//I DD DSN=A.B,DISP=SHR\n",
+}
+
+
+def test_a_mainframe_tree(spark, tmp_path):
+    """Stereotypes by traits, by links and jobs; settings come first, for programs, transactions and containers."""
+    root, where = tmp_path / "tree", str(tmp_path / "store")
+    for name, text in HOST.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    e, r = cli.snapshot(spark, str(root))
+    kinds = {x["name"]: x["stereotype"] for x in e.where("kind IN ('program', 'copybook', 'jcl_job', 'db2_table')").collect()}
+    assert kinds == {"ASKCUST": "UI Component", "GETCUST": "Repository", "CALCPRC": "Service", "SUMS": "Batch Job", "SENDQ": "Gateway", "VSAMRD": "Repository", "CUSTREC": "Shared Data", "NIGHT": "Batch Job", "CUST": "Entity"}
+    (root / "orrery.yaml").write_text("mainframe:\n  stereotypes:\n    - {program: askcust, stereotype: Controller}\n    - {program_pattern: 'CALC*', stereotype: Worker}\n  transactions: {CP01: CALCPRC}\ncontainers:\n  - {path: cbl, name: core}\n")
+    cli.scan(spark, str(root), where)
+    e, r = cli.load(spark, where)
+    rows = {x["name"]: x for x in e.where("kind = 'program'").collect()}
+    assert (rows["ASKCUST"]["stereotype"], rows["CALCPRC"]["stereotype"], rows["SUMS"]["stereotype"], rows["SUMS"]["container"]) == ("Controller", "Worker", "Batch Job", "core")
+    assert ("cobol.SENDQ", "cobol.CALCPRC", "cics_start") in {tuple(x) for x in r.select("source_id", "target_id", "rel_type").collect()}
+    programs = {tuple(x) for x in overlays.step_programs(e, r).collect()}
+    assert programs == {("step", "jcl.NIGHT.S1", "SUMS")}
+
+
+def test_roots_that_are_missing_or_nested(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "X.JAVA").write_text("class X {}")
+    (tmp_path / "a" / "note.txt").write_text("no source")
+    got = files.source_tree(spark, str(tmp_path), include=["a", "a/b", "gone"]).collect()
+    assert [(r["path"], r["language"]) for r in got] == [("a/b/X.JAVA", "java")]
+    assert files.source_tree(spark, str(tmp_path), include=["gone"]).count() == 0
+
+
+def test_settings(spark, tmp_path):
+    from orrery.settings import Settings, initial
+
+    assert initial(str(tmp_path)) and not initial(str(tmp_path)) and Settings.load(str(tmp_path)).project_name == tmp_path.name
+    s = Settings.of({"schema": {"globs": ["db/*.sql"]}, "unknown": 1, "stereotypes": {"java": [{"decorator": "Saga", "stereotype": "Worker"}, {"convention": "ports/*", "stereotype": "Gateway"}]}})
+    assert s.ddl == {"globs": ["db/*.sql"]}
+    row = spark.createDataFrame([(["Other", "@a.b.SAGA(x)"], "java", "x/ports/Y.java", "python")], "notes array<string>, language string, path string, other string")
+    got = row.select(s.by_annotation(F.col("notes"), F.col("language")).alias("a"), s.by_annotation(F.col("notes"), F.col("other")).alias("b"), s.by_convention(F.col("path"), F.col("language")).alias("c"), s.container(F.col("path")).alias("d")).first()
+    assert tuple(got) == ("Worker", None, "Gateway", None)
+
+
+def test_commands(spark, tmp_path, capsys):
+    """Every command that reads a store answers."""
+    root, where = plant(tmp_path / "tree"), str(tmp_path / "store")
+    (tmp_path / "tree" / "db.sql").write_text("CREATE TABLE users (id INT, extra INT);")
+    cli.scan(spark, root, where, exclude=["node_modules"])
+    cli.scan(spark, root, where, exclude=["node_modules"])
+    for command in ("drift", "data-model", "ops", "intents"):
+        assert cli.main([command, where]) == 0
+    for command in ("events", "contracts", "rules", "schema-drift"):
+        assert cli.main([command, where, root]) == 0
+    assert cli.main(["schema-drift", where, root, "--gate"]) == 2
+    assert cli.main(["grain", where, "--name", "PAY"]) == 0 and cli.main(["aggregate", where]) == 0
+    assert "## " in capsys.readouterr().out
+
+
+def test_operations_in_yaml(spark):
+    from orrery.operators import model as M
+
+    docs = spark.createDataFrame([("shop", "paths:\n  /items/{id}:\n    get: {summary: x}\n    post: {}\n"), ("old", '{"paths": {"/a": {"get": {}}}}'), ("bad", "a: [1"), ("none", None)], "service string, text string")
+    assert {tuple(r) for r in M.operations(docs).collect()} == {("shop", "GET", "/items/{id}"), ("shop", "POST", "/items/{id}"), ("old", "GET", "/a")}
