@@ -4,20 +4,22 @@ Symbols are the words of a text and its runs of symbols (letters made small). Ev
 the corpus is a symbol of its own; all others are one symbol, the unknown word. The vocabulary and its counts grow with
 the corpus and are never on one machine: they lie in shards of the hash space.
 
-1. Texts are encoded once, in chunks of about ``CHUNK`` bytes: local word numbers, and the hashes of the local words. The
-   table is bucketed by chunk, so it isn't shuffled again.
-2. A round trip: each chunk sends its words with their expected counts for every state to the shards; a shard adds them
-   up and answers each chunk with the sums for its words. The first round sends plain counts, to which the shard
+1. Texts are encoded once, in chunks of about ``CHUNK`` bytes: local word numbers, and the hashes of the local words. Up
+   to ``BUNDLED`` chunks of a task form a bundle, as many as leave each partition of a shuffle four bundles; the table is
+   bucketed by bundle, so it isn't shuffled again. Bundles, and shards of ``SHARD_WORDS`` words, keep the messages few.
+2. A round trip: each bundle sends its words with their expected counts for every state to the shards; a shard adds them
+   up and answers each bundle with the sums for its words. The first round sends plain counts, to which the shard
    gives each state's own random tilt (from the word's hash).
-3. Baum-Welch: with the answers, a chunk knows the emission probabilities of its words. It runs the scaled
+3. Baum-Welch: with the answers, a bundle knows the emission probabilities of its words. It runs the scaled
    forward-backward recursion and gives expected emission counts (to the shards) and a small row of expected
-   transitions and starts. The query trains until the log-likelihood a word has gained less than ``TOLERANCE`` in two
-   rounds running, the later gain not being the greater: the near-even start gains little before the states part. A
-   round's files go once the next is stored. :func:`scored` makes ``ITERATIONS`` rounds unless told otherwise.
+   transitions and starts. States start out likely to stay (``STAY``), as neighbouring words have much in common. The
+   query trains until the log-likelihood a word has gained less than ``TOLERANCE`` in two rounds running, the later gain
+   not being the greater: the start may gain little before the states part. A round's files go once the next is stored.
+   :func:`scored` makes ``ITERATIONS`` rounds unless told otherwise.
 4. Scoring: the scaled forward recursion gives each text's exact log-likelihood.
 
-The recursions are exact for texts of any length: segments of ``SEGMENT`` words run side by side as K x K products, which
-are then chained along each text.
+The recursions are exact for texts of any length. Texts run side by side, a step being a few operations on all; those of
+more than ``SEGMENT`` words are cut into segments, whose K x K products are chained along each text first.
 
 Emissions are (count + SMOOTHING) over their state's total; the state before the first word is drawn from the start
 distribution. Logarithms are natural; perplexity is exp(-log_likelihood / n_tokens).
@@ -34,6 +36,7 @@ import uuid
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -46,17 +49,22 @@ ITERATIONS = 2
 #: Gain in log-likelihood a word, in nats, under which training has settled.
 TOLERANCE = 5e-4
 SMOOTHING = 1e-3
+#: Probability of staying in a state before training: near-even starts gain nothing for many rounds, sticky ones end at lesser optima.
+STAY = 0.8
 CHUNK = 16 << 20
-SEGMENT = 64
-#: Segments that run side by side.
-LOT = 4096
-#: Words, counted once in each chunk, that a shard should hold, give or take.
-SHARD_WORDS = 500_000
-_STATS = "shard int, chunk long, words binary, sums binary"
+BUNDLED = 16
+SEGMENT = 4096
+#: Words of the segments that run side by side.
+LOT = 1 << 19
+#: Steps after which a recursion is scaled; emissions are scaled by word before.
+SCALED = 8
+#: Words, counted once in each bundle, that a shard should hold, give or take.
+SHARD_WORDS = 2_000_000
+_STATS = "shard int, bundle long, words binary, sums binary"
 
 
 class Model(NamedTuple):
-    """The small part of the model; emission counts lie with the chunks."""
+    """The small part of the model; emission counts lie with the bundles."""
 
     start: np.ndarray  #: (K,) state before the first word
     move: np.ndarray  #: (K, K) transition probabilities
@@ -69,6 +77,8 @@ class Sequences(NamedTuple):
     """Texts as chained segments of at most SEGMENT words; ``ids`` are rows of the emission table."""
 
     ids: np.ndarray
+    lengths: np.ndarray  #: words of each text
+    text: np.ndarray  #: text of each segment
     first: np.ndarray  #: position in ids of each segment's first word
     size: np.ndarray  #: words of each segment
     chain: list[np.ndarray]  #: chain[j]: for the texts with more than j segments, longest first, their j-th segment
@@ -77,8 +87,8 @@ class Sequences(NamedTuple):
 
 def initial(states: int = STATES) -> tuple[np.ndarray, np.ndarray]:
     """Start and transition probabilities before training: even starts, states that like to stay."""
-    move = np.full((states, states), 0.5 / max(1, states - 1))
-    np.fill_diagonal(move, 0.5)
+    move = np.full((states, states), (1 - STAY) / max(1, states - 1))
+    np.fill_diagonal(move, STAY)
     return np.full(states, 1 / states), move / move.sum(axis=1, keepdims=True)
 
 
@@ -94,40 +104,77 @@ def emissions(model: Model, counts: np.ndarray) -> np.ndarray:
     return np.where(known[:, None], counts + SMOOTHING, model.unknown + SMOOTHING) / (model.total + SMOOTHING * model.vocabulary)
 
 
-def sequences(ids: np.ndarray, lengths: np.ndarray) -> Sequences:
+def sequences(ids: np.ndarray, lengths: np.ndarray, over: int = 0) -> Sequences:
+    """The segments of all texts, or of those only that have more than ``over``."""
     per = -(-lengths // SEGMENT)
+    per = np.where(per > over, per, 0)
     text = np.repeat(np.arange(len(lengths)), per)
     nth = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
     first = (np.cumsum(lengths) - lengths)[text] + nth * SEGMENT
     order = np.argsort(-per, kind="stable")
     begin, sorted_per = (np.cumsum(per) - per)[order], per[order]
     chain = [begin[: np.searchsorted(-sorted_per, -j, "left")] + j for j in range(int(per.max()) if len(per) else 0)]
-    return Sequences(ids, first, np.minimum(SEGMENT, lengths[text] - nth * SEGMENT), chain, order)
+    return Sequences(ids, lengths, text, first, np.minimum(SEGMENT, lengths[text] - nth * SEGMENT), chain, order)
 
 
 def _lots(s: Sequences):
     """Segments in lots, longest first: their numbers, and how many have more than t words for each t."""
     order = np.argsort(-s.size, kind="stable")
-    for lo in range(0, len(order), LOT):
-        own = order[lo : lo + LOT]
-        yield own, [int(np.searchsorted(-s.size[own], -t, "left")) for t in range(int(s.size[own[0]]))]
+    upto, lo = np.cumsum(s.size[order]), 0
+    while lo < len(order):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + LOT, "right")))
+        own = order[lo:hi]
+        yield own, np.searchsorted(-s.size[own], -np.arange(int(s.size[own[0]])), "left").tolist()
+        lo = hi
+
+
+def _peaks(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The emission table scaled by its words' greatest emissions, and their logarithms."""
+    peak = table.max(axis=1) if len(table) else np.zeros(0)
+    return table / peak[:, None], np.log(peak)
+
+
+_kept: list[np.ndarray] = []
+
+
+def _room(size: int) -> list[np.ndarray]:
+    """Four arrays of doubles that a worker process keeps: memory that is new each time costs more than the sums in it."""
+    if not _kept or len(_kept[0]) < size:
+        _kept[:] = [np.empty(size) for _ in range(4)]
+    return [x[:size] for x in _kept]
+
+
+def _flat(s: Sequences, own: np.ndarray, active: list[int], scaled: np.ndarray, out: np.ndarray | None = None) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Where each step of a lot begins, and its words and their emissions, one step after another."""
+    start = s.first[own]
+    ids = np.take(s.ids, np.concatenate([start[:n] + t for t, n in enumerate(active)]))
+    return np.r_[0, np.cumsum(active)].tolist(), ids, np.take(scaled, ids, axis=0, mode="clip", out=out)
 
 
 def _products(s: Sequences, model: Model, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each segment's product of transitions and emissions, scaled to sum 1, and the logarithm of its scale."""
     k = len(model.start)
     out, log = np.empty((len(s.first), k, k)), np.empty(len(s.first))
+    scaled, log_peak = _peaks(table)
     for own, active in _lots(s):
-        m, scale = np.broadcast_to(np.eye(k), (len(own), k, k)).copy(), np.zeros(len(own))
+        base, ids, emit = _flat(s, own, active, scaled)
+        m, next_m, scale = np.tile(np.eye(k), (len(own), 1)), np.empty((len(own) * k, k)), np.zeros(len(own))
         for t, n in enumerate(active):
-            b = table[s.ids[s.first[own[:n]] + t]]
-            step = (m[:n].reshape(-1, k) @ model.move).reshape(n, k, k)
-            step *= b[:, None, :]
-            norm = step.sum(axis=(1, 2))
-            step /= norm[:, None, None]
-            m[:n] = step
-            scale[:n] += np.log(norm)
-        out[own], log[own] = m, scale
+            step = next_m[: n * k]
+            np.matmul(m[: n * k], model.move, out=step)
+            rows = step.reshape(n, k, k)
+            rows *= emit[base[t] : base[t + 1], None, :]
+            if t % SCALED == SCALED - 1 or t == len(active) - 1 or active[t + 1] < n:
+                norm = rows.sum(axis=(1, 2))
+                rows /= norm[:, None, None]
+                scale[:n] += np.log(norm)
+            if t + 1 < len(active) and active[t + 1] < n:
+                m[active[t + 1] * k : n * k] = step[active[t + 1] * k :]  # those that end here
+            m, next_m = (next_m, m) if n == len(own) else (m, next_m)
+            if n < len(own):
+                m[: n * k] = step
+        scale += np.bincount(np.concatenate([np.arange(n) for n in active]), log_peak[ids], len(own))
+        out[own], log[own] = m.reshape(len(own), k, k), scale
     return out, log
 
 
@@ -148,48 +195,107 @@ def forward(s: Sequences, model: Model, products: np.ndarray, log: np.ndarray) -
     return out, before
 
 
-def expected(s: Sequences, model: Model, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts: emissions for each row of the table, transitions, starts, and the log-likelihood."""
+def _borders(s: Sequences, model: Model, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The state distribution before each segment and the likelihood of what follows it, both scaled; only texts of
+    several segments need products."""
     k = len(model.start)
-    products, log = _products(s, model, table)
-    logs, before = forward(s, model, products, log)
-    after = np.ones((len(s.first), k)) / k
-    starts = np.zeros(k)
-    at = np.ones((len(s.order), k)) / k
-    for segment in reversed(s.chain):
-        n = len(segment)
-        after[segment] = at[:n]
-        step = np.einsum("nij,nj->ni", products[segment], at[:n])
-        at[:n] = step / step.sum(axis=1, keepdims=True)
-    if s.chain:
-        n = len(s.chain[0])
-        post = at[:n] * model.start
-        starts = (post / post.sum(axis=1, keepdims=True)).sum(axis=0)
-    moves, counts = np.zeros((k, k)), np.zeros((len(table), k))
+    before, after = np.broadcast_to(model.start, (len(s.first), k)).copy(), np.ones((len(s.first), k))
+    long = sequences(s.ids, s.lengths, over=1)
+    if len(long.first):
+        products, log = _products(long, model, table)
+        own = np.flatnonzero(s.lengths[s.text] > SEGMENT)
+        before[own] = forward(long, model, products, log)[1]
+        at = np.ones((len(long.order), k))
+        for segment in reversed(long.chain):
+            n = len(segment)
+            after[own[segment]] = at[:n]
+            step = np.einsum("nij,nj->ni", products[segment], at[:n])
+            at[:n] = step / step.sum(axis=1, keepdims=True)
+    return before, after
+
+
+class Lot(NamedTuple):
+    """A forward sweep over a lot of segments; the words of step t of all that have so many come together, states first."""
+
+    own: np.ndarray  #: segments, longest first
+    active: list[int]  #: how many have more than t words
+    base: list[int]  #: where step t begins
+    ids: np.ndarray
+    emit: np.ndarray  #: scaled emissions
+    before: np.ndarray  #: state distributions before each word
+    at: np.ndarray  #: and after it, not yet scaled to sum 1 but where scale isn't 1
+    scale: np.ndarray
+    log: np.ndarray  #: log-likelihood of each segment of the lot, without the words' peaks
+
+
+def _forward_sweeps(s: Sequences, model: Model, scaled: np.ndarray, before: np.ndarray):
+    """The scaled forward recursion over all segments, a lot at a time; the next one takes the place of the last."""
+    k = len(model.start)
+    move = np.ascontiguousarray(model.move.T)
     for own, active in _lots(s):
-        alpha = np.empty((len(active) + 1, len(own), k))
-        alpha[0] = before[own]
-        picked = []
+        rows, emit, came, at = _room(k * sum(active))
+        base, ids, rows = _flat(s, own, active, scaled, rows.reshape(-1, k))
+        emit, came, at = (x.reshape(k, -1) for x in (emit, came, at))
+        emit[...] = rows.T
+        scale, log = np.ones(len(ids)), np.zeros(len(own))
+        now = before[own].T
         for t, n in enumerate(active):
-            ids = s.ids[s.first[own[:n]] + t]
-            picked.append(ids)
-            step = (alpha[t, :n] @ model.move) * table[ids]
-            alpha[t + 1, :n] = step / step.sum(axis=1, keepdims=True)
-        beta = after[own]
-        gammas = []
-        for t in range(len(active) - 1, -1, -1):
-            n = active[t]
-            gamma = alpha[t + 1, :n] * beta[:n]
-            gammas.append(gamma / gamma.sum(axis=1, keepdims=True))
-            right = table[picked[t]] * beta[:n]
-            joint = (alpha[t, :n] @ model.move * right).sum(axis=1, keepdims=True)
-            moves += alpha[t, :n].T @ (right / joint)
-            step = right @ model.move.T
-            beta[:n] = step / step.sum(axis=1, keepdims=True)
-        ids, gamma = np.concatenate(picked[::-1]), np.concatenate(gammas)
+            a, b = base[t], base[t + 1]
+            last, now, then = came[:, a:b], at[:, a:b], now
+            last[...] = then[:, :n]
+            np.matmul(move, last, out=now)
+            now *= emit[:, a:b]
+            if t % SCALED == SCALED - 1:
+                norm = now.sum(axis=0)
+                now /= norm
+                scale[a:b] = norm
+                log[:n] += np.log(norm)
+            stay = active[t + 1] if t + 1 < len(active) else 0
+            if stay < n:
+                log[stay:n] += np.log(now[:, stay:].sum(axis=0))
+        yield Lot(own, active, base, ids, emit, came, at, scale, log)
+
+
+def likelihoods(s: Sequences, model: Model, table: np.ndarray) -> np.ndarray:
+    """The exact log-likelihood of each text."""
+    scaled, log_peak = _peaks(table)
+    before, _ = _borders(s, model, table)
+    out = np.zeros(len(s.lengths))
+    for lot in _forward_sweeps(s, model, scaled, before):
+        out += np.bincount(s.text[lot.own], lot.log, len(out))
+    sums = np.r_[0.0, np.cumsum(log_peak[s.ids])]
+    ends = np.cumsum(s.lengths)
+    return out + sums[ends] - sums[ends - s.lengths]
+
+
+def expected(s: Sequences, model: Model, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch counts: emissions for each row of the table, transitions, starts, and the log-likelihood."""
+    k = len(model.start)
+    scaled, log_peak = _peaks(table)
+    before, after = _borders(s, model, table)
+    opening = np.r_[True, s.text[1:] != s.text[:-1]] if len(s.text) else np.zeros(0, bool)
+    moves, counts, starts, total = np.zeros((k, k)), np.zeros((len(table), k)), np.zeros(k), float(log_peak[s.ids].sum())
+    for lot in _forward_sweeps(s, model, scaled, before):
+        total += float(lot.log.sum())
+        beta, right, gamma = np.ascontiguousarray(after[lot.own].T), lot.emit, lot.at  # each emission is used once more
+        for t in range(len(lot.active) - 1, -1, -1):
+            a, b = lot.base[t], lot.base[t + 1]
+            now, own = beta[:, : b - a], right[:, a:b]
+            gamma[:, a:b] *= now
+            own *= now
+            np.matmul(model.move, own, out=now)
+            if t % SCALED == 0:
+                now /= now.sum(axis=0)
+        post = beta[:, opening[lot.own]] * model.start[:, None]
+        starts += (post / post.sum(axis=0)).sum(axis=1)
+        share = 1 / gamma.sum(axis=0)
+        gamma *= share
+        share /= lot.scale
+        right *= share
+        moves += lot.before @ right.T
         for j in range(k):
-            counts[:, j] += np.bincount(ids, gamma[:, j], len(table))
-    return counts, moves * model.move, starts, float(logs.sum())
+            counts[:, j] += np.bincount(lot.ids, gamma[j], len(table))
+    return counts, moves * model.move, starts, total
 
 
 def _pack(ids: np.ndarray) -> bytes:
@@ -209,8 +315,15 @@ def _by_shard(words: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
 
 
-def encoded(docs: DataFrame) -> DataFrame:
-    """Chunks of whole texts: chunk, doc_ids, lengths, ids (packed), words and counts (most frequent first), n_words."""
+def _bundled(docs: DataFrame) -> int:
+    """Chunks to a bundle, by Spark's estimate of the input's size: one where it is small or unknown."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 1 if size >= 1 << 60 else max(1, min(BUNDLED, size // (4 * partitions * CHUNK)))
+
+
+def encoded(docs: DataFrame, bundled: int = 1) -> DataFrame:
+    """Chunks of whole texts: bundle, doc_ids, lengths, ids (packed), words and counts (most frequent first), n_words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def worker(batches):
@@ -219,16 +332,17 @@ def encoded(docs: DataFrame) -> DataFrame:
 
         def row():
             everything = np.concatenate(hashes)
-            words, local, counts = np.unique(everything, return_inverse=True, return_counts=True)
+            local, words = pd.factorize(everything)
+            counts = np.bincount(local, minlength=len(words))
             order = np.argsort(-counts, kind="stable")
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             ids = pa.concat_arrays(names)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([base + serial]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([np.concatenate(lengths).astype(np.int64).tobytes()], pa.binary()),
+                    pa.array([base + serial // bundled]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([np.concatenate(lengths).astype(np.int64).tobytes()], pa.binary()),
                     pa.array([_pack(rank[local])], pa.binary()), pa.array([words[order].tobytes()], pa.binary()), pa.array([counts[order].astype(np.int32).tobytes()], pa.binary()), pa.array([len(words)], pa.int64()),
-                ], ["chunk", "doc_ids", "lengths", "ids", "words", "counts", "n_words"],
+                ], ["bundle", "doc_ids", "lengths", "ids", "words", "counts", "n_words"],
             )
 
         for batch in batches:
@@ -245,50 +359,58 @@ def encoded(docs: DataFrame) -> DataFrame:
         if names:
             yield row()
 
-    return docs.select("doc_id", "text").mapInArrow(worker, f"chunk long, doc_ids array<{kind}>, lengths binary, ids binary, words binary, counts binary, n_words long")
+    return docs.select("doc_id", "text").mapInArrow(worker, f"bundle long, doc_ids array<{kind}>, lengths binary, ids binary, words binary, counts binary, n_words long")
 
 
-def _bucketed(chunks: DataFrame) -> DataFrame:
-    """The chunks as a table in the shared folder, bucketed by chunk: later joins by chunk don't move them."""
+def _bucketed(chunks: DataFrame) -> tuple[DataFrame, str]:
+    """The chunks as a table in the shared folder, bucketed by bundle, and its name: later joins by bundle don't move them."""
     spark = chunks.sparkSession
     buckets = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"orrery_chunks_{uuid.uuid4().hex}"
-    chunks.repartition(buckets, "chunk").write.bucketBy(buckets, "chunk").option("path", f"{scratch(spark)}/{name}").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    path = f"{scratch(spark)}/{name}"
+    chunks.repartition(buckets, "bundle").write.bucketBy(buckets, "bundle").option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.__dict__["stored_at"] = path
+    return out, name
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
     columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "chunk", "words", "sums"])
+    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "bundle", "words", "sums"])
+
+
+def _messages(bundle: int, words: np.ndarray, values: np.ndarray, shards: int) -> list[tuple]:
+    """Words and what belongs to them, by shard."""
+    order, bounds = _by_shard(words, shards)
+    words, values = words[order], values[order]
+    return [(int(k), bundle, words[bounds[k] : bounds[k + 1]].tobytes(), values[bounds[k] : bounds[k + 1]].tobytes()) for k in np.flatnonzero(np.diff(bounds))]
 
 
 def _counted(chunks: DataFrame, shards: int) -> DataFrame:
-    """The first request of each chunk: its words and their plain counts, by shard."""
+    """The first request of each bundle: its words and their plain counts, by shard."""
 
-    def worker(batches):
-        for batch in batches:
-            for chunk, words, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                words, counts = np.frombuffer(words, np.int64), np.frombuffer(counts, np.int32)
-                order, bounds = _by_shard(words, shards)
-                words, counts = words[order], counts[order]
-                yield from _rows([(k, chunk, words[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]).to_batches()
+    def work(group: pa.Table) -> pa.Table:
+        words = np.concatenate([np.frombuffer(x, np.int64) for x in group.column("words").to_pylist()])
+        counts = np.concatenate([np.frombuffer(x, np.int32) for x in group.column("counts").to_pylist()])
+        own, at = np.unique(words, return_inverse=True)
+        return _rows(_messages(group.column("bundle")[0].as_py(), own, np.bincount(at, counts, len(own)).astype(np.int64), shards))
 
-    return chunks.select("chunk", "words", "counts").mapInArrow(worker, _STATS)
+    return chunks.select("bundle", "words", "counts").groupBy("bundle").applyInArrow(work, _STATS)
 
 
 def _answered(requests: DataFrame, states: int, plain: bool) -> DataFrame:
-    """What each shard answers: for every chunk the summed counts of its words. The plain first round also gives a row
-    with chunk -1: known words, unknown occurrences, and sums of the unknown and of all known words' counts."""
+    """What each shard answers: for every bundle the summed counts of its words. The plain first round also gives a row
+    with bundle -1: known words, unknown occurrences, and sums of the unknown and of all known words' counts."""
 
     def shard(group: pa.Table) -> pa.Table:
         number = group.column("shard")[0].as_py()
-        chunk, raw, value = (group.column(c).to_pylist() for c in ("chunk", "words", "sums"))
+        bundle, raw, value = (group.column(c).to_pylist() for c in ("bundle", "words", "sums"))
         words = [np.frombuffer(x, np.int64) for x in raw]
         distinct, at = np.unique(np.concatenate(words), return_inverse=True)
         ends = np.cumsum([0, *map(len, words)])
         out = []
         if plain:
-            total = np.bincount(at, np.concatenate([np.frombuffer(x, np.int32) for x in value]))
+            total = np.bincount(at, np.concatenate([np.frombuffer(x, np.int64) for x in value]))
             known = total > 1
             sums = tilt(distinct, states) * total[:, None]
             out.append((number, -1, b"", np.r_[known.sum(), total[~known].sum(), sums[~known].sum(axis=0), sums[known].sum(axis=0)].tobytes()))
@@ -297,71 +419,86 @@ def _answered(requests: DataFrame, states: int, plain: bool) -> DataFrame:
             values = np.concatenate([np.frombuffer(x, np.float32) for x in value]).reshape(-1, states)
             sums = np.stack([np.bincount(at, values[:, k]) for k in range(states)], axis=1)
         sums = sums.astype(np.float32)
-        return _rows(out + [(number, chunk[k], raw[k], sums[at[ends[k] : ends[k + 1]]].tobytes()) for k in range(len(words))])
+        return _rows(out + [(number, bundle[k], raw[k], sums[at[ends[k] : ends[k + 1]]].tobytes()) for k in range(len(words))])
 
     return requests.groupBy("shard").applyInArrow(shard, _STATS)
 
 
-def _emission_counts(group: pa.Table, states: int, words: np.ndarray) -> np.ndarray:
-    """A chunk's answers put in the order of its words; words that weren't asked for have none."""
-    out = np.zeros((len(words), states))
-    order = np.argsort(words, kind="stable")
-    for raw, value in zip(group.column("words").to_pylist(), group.column("sums").to_pylist(), strict=True):
-        out[order[np.searchsorted(words[order], np.frombuffer(raw, np.int64))]] = np.frombuffer(value, np.float32).reshape(-1, states)
-    return out
+class Bundle(NamedTuple):
+    words: np.ndarray  #: of all chunks, ascending
+    known: np.ndarray  #: (words, K) emission counts
+    lengths: list[np.ndarray]  #: of each chunk's texts
+    places: list[np.ndarray]  #: for each chunk the places of its words, most frequent first, in words
+    packed: list[bytes]
+
+    def sequences(self, k: int) -> Sequences:
+        """A chunk's texts; words are numbered as in its places."""
+        return sequences(_unpack(self.packed[k], int(self.lengths[k].sum())), self.lengths[k])
 
 
-def _opened(chunk: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    lengths = np.frombuffer(chunk["lengths"], np.int64)
-    return np.frombuffer(chunk["words"], np.int64), lengths, _unpack(chunk["ids"], int(lengths.sum()))
+def _opened(left: pa.Table, right: pa.Table, states: int) -> Bundle:
+    """A bundle with the shards' answers; words that weren't asked for have no counts."""
+    local = [np.frombuffer(x, np.int64) for x in left.column("words").to_pylist()]
+    words = np.unique(np.concatenate(local))
+    known = np.zeros((len(words), states))
+    for raw, value in zip(right.column("words").to_pylist(), right.column("sums").to_pylist(), strict=True):
+        known[np.searchsorted(words, np.frombuffer(raw, np.int64))] = np.frombuffer(value, np.float32).reshape(-1, states)
+    lengths = [np.frombuffer(x, np.int64) for x in left.column("lengths").to_pylist()]
+    return Bundle(words, known, lengths, [np.searchsorted(words, w) for w in local], left.column("ids").to_pylist())
 
 
 def _trained(chunks: DataFrame, answers: DataFrame, model: Model, shards: int) -> DataFrame:
-    """The next requests of all chunks, and for each chunk a row of shard -1: transitions, starts, totals, unknown, log-likelihood."""
+    """The next requests of all bundles, and for each bundle a row of shard -1: transitions, starts, totals, unknown, log-likelihood."""
     states = len(model.start)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for chunk in left.select(["chunk", "lengths", "ids", "words"]).to_pylist():
-            words, lengths, ids = _opened(chunk)
-            given = _emission_counts(right, states, words)
-            counts, moves, starts, log = expected(sequences(ids, lengths), model, emissions(model, given))
-            known = given.sum(axis=1) > 0
-            out.append((-1, chunk["chunk"], b"", np.r_[moves.ravel(), starts, counts.sum(axis=0), counts[~known].sum(axis=0), log].tobytes()))
-            own, counts = words[known], np.maximum(counts[known], 1e-9).astype(np.float32)
-            order, bounds = _by_shard(own, shards)
-            own, counts = own[order], counts[order]
-            out += [(k, chunk["chunk"], own[a:b].tobytes(), counts[a:b].tobytes()) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if b > a]
-        return _rows(out)
+        bundle = _opened(left, right, states)
+        emit, known = emissions(model, bundle.known), bundle.known.sum(axis=1) > 0
+        counts, small = np.zeros_like(bundle.known), np.zeros(states * states + states + 1)
+        for k, place in enumerate(bundle.places):
+            own, moves, starts, log = expected(bundle.sequences(k), model, emit[place])
+            counts[place] += own
+            small += np.r_[moves.ravel(), starts, log]
+        number = left.column("bundle")[0].as_py()
+        row = np.r_[small[:-1], counts.sum(axis=0), counts[~known].sum(axis=0), small[-1]]
+        return _rows([(-1, number, b"", row.tobytes()), *_messages(number, bundle.words[known], np.maximum(counts[known], 1e-9).astype(np.float32), shards)])
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(work, _STATS)
+    chunks = chunks.select("bundle", "lengths", "ids", "words")
+    return chunks.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(work, _STATS)
 
 
 def _scored(chunks: DataFrame, answers: DataFrame, model: Model, kind: str) -> DataFrame:
     states = len(model.start)
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = []
-        for k, chunk in enumerate(left.select(["lengths", "ids", "words"]).to_pylist()):
-            words, lengths, ids = _opened(chunk)
-            given = _emission_counts(right, states, words)
-            s = sequences(ids, lengths)
-            logs, _ = forward(s, model, *_products(s, model, emissions(model, given)))
-            unknown = np.r_[0, np.cumsum((given.sum(axis=1) == 0)[ids])]
-            ends = np.cumsum(lengths)
+        bundle, parts = _opened(left, right, states), []
+        emit, unknown = emissions(model, bundle.known), bundle.known.sum(axis=1) == 0
+        for k, place in enumerate(bundle.places):
+            s = bundle.sequences(k)
+            logs = likelihoods(s, model, emit[place])
+            lost, ends = np.r_[0, np.cumsum(unknown[place][s.ids])], np.cumsum(s.lengths)
             with np.errstate(over="ignore"):
-                perplexity = np.exp(-logs / np.maximum(lengths, 1))
+                perplexity = np.exp(-logs / np.maximum(s.lengths, 1))
             names = left.column("doc_ids").combine_chunks().slice(k, 1).flatten()
-            parts.append(pa.table([names, pa.array(lengths), pa.array(unknown[ends] - unknown[ends - lengths]), pa.array(np.round(logs, 6)), pa.array(np.round(perplexity, 4), mask=lengths == 0)], ["doc_id", "n_tokens", "n_unknown", "log_likelihood", "perplexity"]))
+            parts.append(pa.table([names, pa.array(s.lengths), pa.array(lost[ends] - lost[ends - s.lengths]), pa.array(np.round(logs, 6)), pa.array(np.round(perplexity, 4), mask=s.lengths == 0)], ["doc_id", "n_tokens", "n_unknown", "log_likelihood", "perplexity"]))
         return pa.concat_tables(parts)
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(work, f"doc_id {kind}, n_tokens long, n_unknown long, log_likelihood double, perplexity double")
+    chunks = chunks.select("bundle", "doc_ids", "lengths", "ids", "words")
+    return chunks.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(work, f"doc_id {kind}, n_tokens long, n_unknown long, log_likelihood double, perplexity double")
 
 
 def _summed(df: DataFrame, where: str, size: int) -> np.ndarray:
-    """The sum of small rows of doubles, one for each shard or chunk."""
+    """The sum of small rows of doubles, one for each shard or bundle; each task adds its own up first."""
+
+    def add(batches):
+        total = np.zeros(size)
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                total += np.frombuffer(value, np.float64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
     total = np.zeros(size)
-    for row in df.where(where).select("sums").toLocalIterator():
+    for row in df.where(where).select("sums").mapInArrow(add, "sums binary").toLocalIterator():
         total += np.frombuffer(bytes(row["sums"]), np.float64)
     return total
 
@@ -373,14 +510,17 @@ def settled(logs: list[float], tolerance: float) -> bool:
 
 
 def scored(docs: DataFrame, states: int = STATES, iterations: int | None = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
-    """The likelihood of every row of ``docs`` under a model trained on all of them; iterations None: until it has settled."""
+    """The likelihood of every row of ``docs`` under a model trained on all of them; iterations None: until it has settled.
+
+    The scores are stored and all other files deleted.
+    """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chunks = _bucketed(encoded(docs))
+    chunks, name = _bucketed(encoded(docs, _bundled(docs)))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(chunks.agg(F.sum("n_words")).first()[0] or 0) // SHARD_WORDS))
     last = stored(_answered(_counted(chunks, shards), states, plain=True))
-    found = _summed(last, "chunk = -1", 2 + 2 * states)
-    answers = last.where("chunk >= 0")
+    found = _summed(last, "bundle = -1", 2 + 2 * states)
+    answers = last.where("bundle >= 0")
     start, move = initial(states)
     model = Model(start, move, found[2 : 2 + states] + found[2 + states :], found[2 : 2 + states], int(found[0]) + 1)
     logs: list[float] = []  # before each round, a word
@@ -395,7 +535,11 @@ def scored(docs: DataFrame, states: int = STATES, iterations: int | None = ITERA
         logs.append(found[-1] / max(1.0, total.sum()))
         if iterations is None and settled(logs, tolerance):
             break
-    return _scored(chunks, answers, model, kind)
+    out = stored(_scored(chunks, answers, model, kind))
+    forget(last)
+    spark.sql(f"DROP TABLE {name}")
+    forget(chunks)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

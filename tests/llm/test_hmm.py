@@ -128,3 +128,33 @@ def test_hard_rows(spark):
     assert all(r["log_likelihood"] == 0 and r["perplexity"] is None for r in got if r["doc_id"] in (100, 101, 102))
     assert len({r["log_likelihood"] for r in got if r["doc_id"] == 0}) == 1
     assert H.scored(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("segment", [1, 7, 64])
+def test_texts_of_many_segments_against_plain_recursion(monkeypatch, segment):
+    monkeypatch.setattr(H, "SEGMENT", segment)
+    monkeypatch.setattr(H, "LOT", 150)
+    rng = np.random.default_rng(3)
+    model, table = random_model(rng, 4, 30)
+    table[:, 1] *= 1e-6  # states far apart
+    lengths = np.array([5, 0, 200, 64, 65, 1, 700, 8, 7])
+    ids = rng.integers(30, size=int(lengths.sum()))
+    s = H.sequences(ids, lengths)
+    counts, moves, starts, logs = naive(ids, lengths, model, table)
+    got = H.expected(s, model, table)
+    assert np.allclose(H.likelihoods(s, model, table), logs) and np.isclose(got[3], sum(logs))
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(got[:3], (counts, moves, starts), strict=True))
+
+
+def test_bundles_give_the_same_scores(spark, monkeypatch):
+    monkeypatch.setattr(H, "CHUNK", 300)
+    rows = [(i, words(i, 10 + i, 80) + f" once{i}", "en", "s", 1) for i in range(60)]
+    alone = sorted(map(tuple, H.scored(frame(spark, rows)).collect()))
+    monkeypatch.setattr(H, "_bundled", lambda docs: 3)
+    for a, b in zip(alone, sorted(map(tuple, H.scored(frame(spark, rows)).collect())), strict=True):
+        assert a[:3] == b[:3] and np.allclose(a[3:], b[3:], rtol=1e-4)
+
+
+def test_nothing_is_left_behind(spark):
+    H.scored(frame(spark, [(1, "a b a b", "en", "s", 1)])).collect()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("orrery_chunks")]
