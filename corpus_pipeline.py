@@ -10,22 +10,45 @@ from orrery.session import importable
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the network can't tell go; it is trained on a bounded sample of ``docs`` themselves.
+
+    Null and empty texts have no language and go, null languages aren't trained on; rows are judged one by one, whatever
+    their id. Without any labelled text nothing is learned and all stay.
+    """
     return language_id.identified_only(docs, language_id.learned(docs))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every line that occurs more than once the first stays, by doc_id; documents without another line go.
+
+    Null ids come first, identical rows share their fate, texts without a line stay as they are.
+    """
     return line_dedup.deduplicated(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the document with the smallest id stays.
+
+    Null ids and texts without a word take no part and stay; rows of one id stay or go together. The stage works on what
+    line deduplication has left: copies whose common lines are gone may no longer be alike.
+    """
     return simhash.deduplicated(docs)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of the table ``benchmark`` are cut out; documents that are half of such go.
+
+    Null and empty texts are left alone; an empty benchmark changes nothing.
+    """
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as a schedule of blocks by source, small sources' blocks as often as their share asks for.
+
+    Null sources are one of their own; texts without a token travel with the document that follows; an empty table gives
+    an empty schedule.
+    """
     return mixing.mixed(docs, max_epochs=None)
 
 
