@@ -5,7 +5,9 @@ import re
 import corpus_pipeline
 from orrery.llm import decontaminate, language_id, line_dedup, mixing, queries, simhash
 
-from .helpers import SCHEMA
+from orrery.llm.common import stored
+
+from .helpers import SCHEMA, clashing, hard_rows
 
 
 def test_stages_follow_one_another(spark, sf_dir):
@@ -48,6 +50,22 @@ def test_hard_tables(spark, tmp_path):
         assert {r["doc_id"] for r in out.collect()} == ({3} if some else set())
 
 
+def test_clashing_names_long_texts_and_ties(spark, tmp_path):
+    """Every stage passes other columns on under whatever names, and a very long text, ties and repeated rows through."""
+    rows = hard_rows(20)
+    docs = clashing(spark, rows)
+    spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == columns, name
+    kept = docs.collect()
+    assert 104 in {r["doc_id"] for r in kept} and len(kept) > 10
+    assert all(tuple(r)[5:] == (1, 2, 3, "x", "g", "l", 4, 5) for r in kept)
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in mixed} == {r["doc_id"] for r in kept}
+
+
 def test_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES)
     assert numbers == list(range(1, 11))
