@@ -8,12 +8,15 @@ the corpus and are never on one machine: they lie in shards of the hash space.
    to ``BUNDLED`` chunks of a task form a bundle, as many as leave each partition of a shuffle four bundles; the table is
    bucketed by bundle, so it isn't shuffled again. Bundles, and shards of ``SHARD_WORDS`` words, keep the messages few.
 2. A round trip: each bundle sends its words with their expected counts for every state to the shards; a shard adds them
-   up and answers each bundle with the sums for its words. The first round sends plain counts, to which the shard
-   gives each state's own random tilt (from the word's hash).
+   up and answers each bundle with the sums for its words. The first round sends plain counts of all texts, which the shard
+   shares out among the states: evenly but for a random tilt (from the word's hash), or as the states that are already
+   told apart have the word.
 3. Baum-Welch: with the answers, a bundle knows the emission probabilities of its words. It runs the scaled
    forward-backward recursion and gives expected emission counts (to the shards) and a small row of expected
    transitions and starts. States start out likely to stay (``STAY``), as neighbouring words have much in common. The
-   query trains until the log-likelihood a word has gained less than ``TOLERANCE`` in two rounds running, the later gain
+   query has its states told apart first, by the same recursion on distinct texts of about ``START_BYTES`` together (those
+   of the smallest hash). That is a start only, as a round over all texts gains little while states are alike: counts,
+   vocabulary and model are then those of all texts. It trains until the log-likelihood a word has gained less than ``TOLERANCE`` in two rounds running, the later gain
    not being the greater: the start may gain little before the states part. A round's files go once the next is stored.
    :func:`scored` makes ``ITERATIONS`` rounds unless told otherwise.
 4. Scoring: the scaled forward recursion gives each text's exact log-likelihood.
@@ -53,6 +56,8 @@ SMOOTHING = 1e-3
 STAY = 0.8
 CHUNK = 16 << 20
 BUNDLED = 16
+#: Bytes of text by which the states are told apart before all texts train them.
+START_BYTES = 4 << 20
 SEGMENT = 4096
 #: Words of the segments that run side by side.
 LOT = 1 << 19
@@ -73,6 +78,25 @@ class Model(NamedTuple):
     vocabulary: int  #: symbols, the unknown word included
 
 
+class Start(NamedTuple):
+    """Where training begins: the first two fields of a model, and how the states share a word's counts (K on average in all)."""
+
+    start: np.ndarray
+    move: np.ndarray
+    words: np.ndarray  #: ascending
+    shares: np.ndarray  #: (words, K)
+    others: np.ndarray  #: (K,) factor of the tilt of other words
+
+    def factors(self, words: np.ndarray) -> np.ndarray:
+        """How much of their counts each state gets."""
+        out = tilt(words, len(self.start)) * self.others
+        if len(self.words):
+            at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+            known = self.words[at] == words
+            out[known] = self.shares[at[known]]
+        return out
+
+
 class Sequences(NamedTuple):
     """Texts as chained segments of at most SEGMENT words; ``ids`` are rows of the emission table."""
 
@@ -298,6 +322,52 @@ def expected(s: Sequences, model: Model, table: np.ndarray) -> tuple[np.ndarray,
     return counts, moves * model.move, starts, total
 
 
+def retrained(counts: np.ndarray, moves: np.ndarray, starts: np.ndarray, unknown: np.ndarray, vocabulary: int) -> Model:
+    """The model of expected counts; ``counts`` are the states' totals."""
+    k = len(starts)
+    return Model((starts + 1e-3) / (starts.sum() + k * 1e-3), (moves + 1e-3) / (moves.sum(axis=1, keepdims=True) + k * 1e-3), counts, unknown, vocabulary)
+
+
+def even_start(states: int) -> Start:
+    """No word is told from others but by its tilt."""
+    return Start(*initial(states), np.zeros(0, np.int64), np.zeros((0, states)), np.ones(states))
+
+
+def told_apart(texts: list[str], states: int, tolerance: float) -> Start:
+    """A start from the states that a few texts train, in one place."""
+    found = [tokens(b, symbols=True) for b in blocks(pa.array(texts, pa.string()))]
+    begin = even_start(states)
+    if not sum(len(f.hash) for f in found):
+        return begin
+    lengths = np.concatenate([np.diff(f.bounds) for f in found])
+    words, ids, times = np.unique(np.concatenate([f.hash for f in found]).view(np.int64), return_inverse=True, return_counts=True)
+    known = times > 1
+    counts = begin.factors(words) * times[:, None]
+    model = Model(begin.start, begin.move, counts.sum(axis=0), counts[~known].sum(axis=0), int(known.sum()) + 1)
+    s, logs = sequences(ids, lengths), []
+    while not settled(logs, tolerance):
+        counts, moves, starts, log = expected(s, model, emissions(model, np.where(known[:, None], counts, 0)))
+        model = retrained(counts.sum(axis=0), moves, starts, counts[~known].sum(axis=0), model.vocabulary)
+        logs.append(log / len(ids))
+    others = model.total / model.total.sum()
+    shares = states * (counts[known] + 0.5 * others) / (counts[known].sum(axis=1, keepdims=True) + 0.5)
+    return Start(model.start, model.move, words[known], shares, states * others)
+
+
+def _first_texts(docs: DataFrame) -> list[str]:
+    """Distinct texts of about START_BYTES together, those with the smallest hash; longer ones than a sixteenth of that aside."""
+    size = _size(docs)
+    share = min(1.0, 8 * START_BYTES / max(1, size)) if size < 1 << 60 else 1.0
+    text, out, held = F.col("text"), [], 0
+    few = docs.select("text").where(text.isNotNull() & (F.octet_length(text) <= START_BYTES // 16)).withColumn("h", F.xxhash64(text)).where(F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30))).distinct()
+    for row in few.orderBy(F.pmod("h", F.lit(1 << 30)), "h", "text").toLocalIterator():
+        out.append(row["text"])
+        held += len(row["text"].encode())
+        if held >= START_BYTES:
+            break
+    return out
+
+
 def _pack(ids: np.ndarray) -> bytes:
     planes = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
@@ -315,9 +385,14 @@ def _by_shard(words: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
 
 
+def _size(docs: DataFrame) -> int:
+    """Spark's estimate of the bytes of ``docs``; very large where it has none."""
+    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _bundled(docs: DataFrame) -> int:
     """Chunks to a bundle, by Spark's estimate of the input's size: one where it is small or unknown."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = _size(docs)
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return 1 if size >= 1 << 60 else max(1, min(BUNDLED, size // (4 * partitions * CHUNK)))
 
@@ -398,10 +473,12 @@ def _counted(chunks: DataFrame, shards: int) -> DataFrame:
     return chunks.select("bundle", "words", "counts").groupBy("bundle").applyInArrow(work, _STATS)
 
 
-def _answered(requests: DataFrame, states: int, plain: bool) -> DataFrame:
-    """What each shard answers: for every bundle the summed counts of its words. The plain first round also gives a row
+def _answered(requests: DataFrame, states: int, begin: Start | None = None) -> DataFrame:
+    """What each shard answers: for every bundle the summed counts of its words. The first round, which has a start, also gives a row
     with bundle -1: known words, unknown occurrences, and sums of the unknown and of all known words' counts."""
 
+    shared = requests.sparkSession.sparkContext.broadcast(begin)  # of the size of START_BYTES' vocabulary at most
+
     def shard(group: pa.Table) -> pa.Table:
         number = group.column("shard")[0].as_py()
         bundle, raw, value = (group.column(c).to_pylist() for c in ("bundle", "words", "sums"))
@@ -409,10 +486,10 @@ def _answered(requests: DataFrame, states: int, plain: bool) -> DataFrame:
         distinct, at = np.unique(np.concatenate(words), return_inverse=True)
         ends = np.cumsum([0, *map(len, words)])
         out = []
-        if plain:
+        if shared.value is not None:
             total = np.bincount(at, np.concatenate([np.frombuffer(x, np.int64) for x in value]))
             known = total > 1
-            sums = tilt(distinct, states) * total[:, None]
+            sums = shared.value.factors(distinct) * total[:, None]
             out.append((number, -1, b"", np.r_[known.sum(), total[~known].sum(), sums[~known].sum(axis=0), sums[known].sum(axis=0)].tobytes()))
             sums[~known] = 0
         else:
@@ -518,19 +595,19 @@ def scored(docs: DataFrame, states: int = STATES, iterations: int | None = ITERA
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunks, name = _bucketed(encoded(docs, _bundled(docs)))
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(chunks.agg(F.sum("n_words")).first()[0] or 0) // SHARD_WORDS))
-    last = stored(_answered(_counted(chunks, shards), states, plain=True))
+    begin = told_apart(_first_texts(docs), states, tolerance) if iterations is None else even_start(states)
+    last = stored(_answered(_counted(chunks, shards), states, begin))
     found = _summed(last, "bundle = -1", 2 + 2 * states)
     answers = last.where("bundle >= 0")
-    start, move = initial(states)
-    model = Model(start, move, found[2 : 2 + states] + found[2 + states :], found[2 : 2 + states], int(found[0]) + 1)
+    model = Model(begin.start, begin.move, found[2 : 2 + states] + found[2 + states :], found[2 : 2 + states], int(found[0]) + 1)
     logs: list[float] = []  # before each round, a word
     for _ in itertools.count() if iterations is None else range(iterations):
         counted = stored(_trained(chunks, answers, model, shards))
         found = _summed(counted, "shard = -1", states * states + 3 * states + 1)
         moves, (starts, total, unknown) = found[: states * states].reshape(states, states), found[states * states : -1].reshape(3, states)
-        model = Model((starts + 1e-3) / (starts.sum() + states * 1e-3), (moves + 1e-3) / (moves.sum(axis=1, keepdims=True) + states * 1e-3), total, unknown, model.vocabulary)
+        model = retrained(total, moves, starts, unknown, model.vocabulary)
         forget(last)  # the round after it is in the shared folder as well
-        last, answers = counted, _answered(counted.where("shard >= 0"), states, plain=False)
+        last, answers = counted, _answered(counted.where("shard >= 0"), states)
         forget_shuffles(spark)
         logs.append(found[-1] / max(1.0, total.sum()))
         if iterations is None and settled(logs, tolerance):
