@@ -357,7 +357,7 @@ def told_apart(texts: list[str], states: int, tolerance: float) -> Start:
 def _first_texts(docs: DataFrame) -> list[str]:
     """Distinct texts of about START_BYTES together, those with the smallest hash; longer ones than a sixteenth of that aside."""
     size = _size(docs)
-    share = min(1.0, 8 * START_BYTES / max(1, size)) if size < 1 << 60 else 1.0
+    share = min(1.0, 2 * START_BYTES / max(1, size)) if size < 1 << 60 else 1.0
     text, out, held = F.col("text"), [], 0
     few = docs.select("text").where(text.isNotNull() & (F.octet_length(text) <= START_BYTES // 16)).withColumn("h", F.xxhash64(text)).where(F.pmod("h", F.lit(1 << 30)) <= int(share * (1 << 30))).distinct()
     for row in few.orderBy(F.pmod("h", F.lit(1 << 30)), "h", "text").toLocalIterator():
