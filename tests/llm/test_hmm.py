@@ -158,23 +158,3 @@ def test_bundles_give_the_same_scores(spark, monkeypatch):
 def test_nothing_is_left_behind(spark):
     H.scored(frame(spark, [(1, "a b a b", "en", "s", 1)])).collect()
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("orrery_chunks")]
-
-
-def test_a_start_tells_states_apart():
-    """Two kinds of texts get states of their own, other words the tilt; without a word the start is even."""
-    texts = [" ".join(f"{'ab'[k % 2]}{(k * 7 + i) % 20}" for i in range(60)) for k in range(40)]
-    begin = H.told_apart(texts, 2, 1e-6)
-    side = begin.shares.argmax(axis=1)
-    hashes = {w: int(tokens(next(blocks(pa.array([w]))), symbols=True).hash.view(np.int64)[0]) for t in texts for w in t.split()}
-    where = {w: side[np.searchsorted(begin.words, h)] for w, h in hashes.items()}
-    assert len({s for w, s in where.items() if w[0] == "a"}) == 1 == len({s for w, s in where.items() if w[0] == "b"}) and where["a0"] != where["b0"]
-    other = np.array([123456789], np.int64)
-    assert np.allclose(begin.factors(other), H.tilt(other, 2) * begin.others) and abs(begin.shares.sum(axis=1) - 2).max() < 1e-9
-    assert np.allclose(H.told_apart([], 3, 1e-3).factors(other), H.tilt(other, 3))
-
-
-def test_first_texts_are_distinct_and_bounded(spark, monkeypatch):
-    monkeypatch.setattr(H, "START_BYTES", 1600)
-    rows = [(i, words(i % 50, 8), "en", "s", 1) for i in range(200)] + [(1000, "long " * 100, "en", "s", 1), (1001, None, "en", "s", 1)]
-    got = H._first_texts(frame(spark, rows))
-    assert len(got) == len(set(got)) and 1600 <= sum(map(len, got)) < 1700 and "long" not in " ".join(got)
