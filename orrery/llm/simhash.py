@@ -1,16 +1,21 @@
-"""SimHash near-deduplication by meet-in-the-middle ball hashing (operator 3).
+"""SimHash near-deduplication, every pair within the radius (operator 3).
 
 Fingerprint: 192 bits, the signs of the summed +-1 patterns of a document's distinct words (words as in
 :mod:`.decontaminate`), kept as six words of 32 bits. Two documents are near copies if their fingerprints differ in at
 most ``radius`` bits.
 
-Search: equal fingerprints are one. For each of its six words, a fingerprint emits the word and every variant of it
-within half of radius 2, that is one flipped bit: 33 variants. Two fingerprints share a variant of a word exactly if
-they differ there in at most 2 bits. By the pigeonhole principle every pair within 17 bits shares one for certain; a
-pair between 18 and ``radius`` bits does with high probability (on the test tables over 0.9 of them, measured in the
-tests against brute force). Variants shuffle packed, 12 bytes each. In every bucket each member is checked
-against the smallest one; members that differ too much from it are checked against all the others. That takes a
-linear number of checks in ordinary buckets and still finds the same connected groups as checking all pairs.
+Search: equal fingerprints are one. Two steps find every pair within ``radius``, or connect it by others:
+
+1. Copies meet cheaply. For each of its six words, a fingerprint emits the word and every variant of it within one
+   flipped bit: 33 variants. Every pair within 17 bits shares one for certain, others perhaps. Variants shuffle packed,
+   12 bytes each; each member of a bucket is checked against the smallest one. What is near gets one label.
+2. An exact search links what the first step left apart. A fingerprint is cut into twelve keys of 16 bits. Two that differ
+   in at most 30 bits differ in at most two bits in one of the first seven keys, or in at most one in one of the last
+   five: if not, they'd differ in 7 x 3 + 5 x 2 = 31. So each key value's members are compared with all whose key is
+   within that reach, by exclusive or and bit count. Members of one label needn't be compared. Points, 32 bytes each, are
+   dealt into groups of about ``GROUP``, and a task compares two groups; each task sends only the links that joined two
+   classes there, fewer than it has classes. Comparisons grow with the square of the number of different fingerprints,
+   some 2 to 5 of a hundred pairs where groups are full: no pair is left out.
 
 Groups are the connected components of verified pairs (smallest labels with pointer jumping, every round written to
 the shared folder). The smallest doc_id of a group stays.
@@ -31,6 +36,14 @@ from .common import blocks, mix, stored, table, texts_of, tokens
 
 WORDS = 6
 RADIUS = 30
+#: Keys of 16 bits that the exact search cuts a fingerprint into.
+KEYS = WORDS * 2
+#: Fingerprints of one group of the exact search, give or take.
+GROUP = 1 << 20
+#: Pairs that are compared at once.
+TILE = 1 << 16
+#: Members of one class and key value from which they aren't compared with their own class.
+CROWD = 64
 #: Entries of 12 bytes that one search task should hold at most, give or take.
 TASK_ENTRIES = 4_000_000
 _LANES = (WORDS * 32) // 64
@@ -138,17 +151,156 @@ def _within(pairs: DataFrame, points: DataFrame, radius: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", (distance <= radius).alias("near"))
 
 
-def edges(points: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Verified pairs (a, b) of fingerprint names: enough of them to connect whatever all pairs in buckets connect."""
+def stars(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Verified pairs (a, b) of fingerprint names: in every bucket the smallest member and those near it."""
     spark = points.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-points.count() * WORDS * 33 // TASK_ENTRIES))
-    met = stored(_collisions(points, tasks))
-    stars = stored(_within(met.where("id <> lo").select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), points, radius))
-    far = stars.where("NOT near").select(F.col("a").alias("lo"), F.col("b").alias("id"))
-    lost = met.where("size > 2").join(far, ["lo", "id"]).select("key", F.col("id").alias("x"))
-    rest = lost.join(met.where("size > 2").select("key", F.col("id").alias("y")), "key").where("x <> y")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    return stars.unionByName(_within(rest, points, radius)).where("near").select("a", "b")
+    met = _collisions(points, tasks)
+    return _within(met.select(F.col("lo").alias("a"), F.col("id").alias("b")).distinct(), points, radius).where("near").select("a", "b")
+
+
+def reaches(radius: int) -> list[int]:
+    """For each key, the bits in which two fingerprints within ``radius`` may differ there: they keep to it in one key at least."""
+    least, more = divmod(radius + 1, KEYS)
+    return [least - 1 + (t < more) for t in range(KEYS)]
+
+
+def masks(bits: int, width: int = 16) -> np.ndarray:
+    """All keys of so many bits that differ from 0 in at most ``bits`` of them."""
+    every = np.arange(1 << width)
+    return every[np.bitwise_count(every) <= bits]
+
+
+class Classes:
+    """A union-find over class numbers that remembers which links joined two classes."""
+
+    def __init__(self, count: int):
+        self.root, self.links, self._stale = np.arange(count), [], 0
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> None:
+        for a, b in np.unique(np.stack([left, right], axis=1), axis=0).tolist():
+            x, y = self.find(a), self.find(b)
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+                self.links.append((x, y))
+                self._stale += 1
+        if self._stale > 1000:  # so that most members of a class are seen to be of one
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+            self._stale = 0
+
+
+def _compared(a: list[np.ndarray], b: list[np.ndarray], of_a: np.ndarray, of_b: np.ndarray, radius: int, classes: Classes, room: tuple) -> None:
+    """Compare all of a with all of b (lanes of fingerprints, and their class numbers) and join the classes of those within radius."""
+    many = len(of_b)
+    for c in range(0, many, TILE):
+        to = min(many, c + TILE)
+        step = max(1, TILE // (to - c))
+        for r in range(0, len(of_a), step):
+            end = min(len(of_a), r + step)
+            bits, one, two = (x[: (end - r) * (to - c)].reshape(end - r, to - c) for x in room)
+            np.bitwise_count(np.bitwise_xor(a[0][r:end, None], b[0][c:to], out=bits), out=one)
+            for k in range(1, _LANES - 1):  # the last lane is that of the key and only read for what is left
+                one += np.bitwise_count(np.bitwise_xor(a[k][r:end, None], b[k][c:to], out=bits), out=two)
+            if int(one.min()) > radius:
+                continue
+            left, right = classes.root[of_a[r:end]], classes.root[of_b[c:to]]
+            i, j = np.nonzero((one <= radius) & (left[:, None] != right))
+            near = one[i, j] + np.bitwise_count(a[-1][r + i] ^ b[-1][c + j]) <= radius
+            if near.any():
+                classes.join(left[i[near]], right[j[near]])
+
+
+def linked(a: np.ndarray, b: np.ndarray | None, of_a: np.ndarray, of_b: np.ndarray | None, keys: list[int], radius: int, classes: Classes) -> None:
+    """Join the classes of all fingerprints of a and b (b None: of a) that are within radius and keep to the reach of one of these keys.
+
+    Fingerprints are rows of longs, of_a and of_b their class numbers. Each key value's members are compared with all whose key is within reach;
+    where few have a value, values that differ in their low bits only are taken together.
+    """
+    width = min(16, max(0, (max(len(a), 0 if b is None else len(b)) >> 4).bit_length() - 1))
+    room = np.empty(TILE, np.uint64), np.empty(TILE, np.uint8), np.empty(TILE, np.uint8)
+    for t in keys:
+        reach = reaches(radius)[t]
+        if reach < 0:
+            continue
+        flips, lane = masks(reach, width), t * 16 // 64
+
+        def by_key(prints: np.ndarray, of: np.ndarray, t: int = t, lane: int = lane) -> tuple:
+            key = np.ascontiguousarray(prints).view(np.uint16).reshape(len(prints), KEYS)[:, t] >> np.uint16(16 - width)
+            order = np.argsort(key, kind="stable")
+            lanes = [np.ascontiguousarray(prints[order, k]).view(np.uint64) for k in range(_LANES) if k != lane]
+            return [*lanes, np.ascontiguousarray(prints[order, lane]).view(np.uint64)], of[order], np.r_[0, np.cumsum(np.bincount(key, minlength=1 << width))]
+
+        left, of_left, at = by_key(a, of_a)
+        right, of_right, begin = (left, of_left, at) if b is None else by_key(b, of_b)
+        for key in np.flatnonzero(np.diff(at)).tolist():
+            others = flips ^ key
+            if b is None:
+                others = others[others >= key]
+            first = begin[others]
+            size = begin[others + 1] - first
+            ends = np.cumsum(size)
+            if not ends[-1]:
+                continue
+            place = np.repeat(first - ends + size, size)
+            place += np.arange(len(place))
+            lo, hi = int(at[key]), int(at[key + 1])
+            own, theirs = [x[lo:hi] for x in left], [x[place] for x in right]
+            of_own, of_theirs = of_left[lo:hi], of_right[place]
+            if hi - lo > CROWD:  # large classes aren't compared with themselves
+                now, then = classes.root[of_own], classes.root[of_theirs]
+                for name, count in zip(*np.unique(now, return_counts=True), strict=True):
+                    if count > CROWD:
+                        some, rest = now == name, then != name
+                        _compared([x[some] for x in own], [x[rest] for x in theirs], of_own[some], of_theirs[rest], radius, classes, room)
+                        left_over = now[~some]
+                        own, of_own, now = [x[~some] for x in own], of_own[~some], left_over
+            _compared(own, theirs, of_own, of_theirs, radius, classes, room)
+
+
+def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of labels that connect whatever all pairs of points (f0..., label) within ``radius`` connect, of different labels.
+
+    Points are dealt into groups; a task compares two groups, or one with itself, by all keys or some.
+    """
+    groups = max(1, -(-points.count() // GROUP))
+    shares = next(k for k in (12, 6, 4, 3, 2, 1) if k == 1 or k * groups <= KEYS)
+    pairs = [(i, j) for i in range(groups) for j in range(i, groups)]
+    tasks = [[n * shares + k for n, pair in enumerate(pairs) if g in pair for k in range(shares)] for g in range(groups)]
+
+    def deal(batches):
+        for batch in batches:
+            prints = np.stack([batch.column(k).to_numpy() for k in range(_LANES + 1)], axis=1)
+            group = mix(np.bitwise_xor.reduce(prints[:, :_LANES].view(np.uint64), axis=1)) % np.uint64(groups)
+            for g in np.unique(group).tolist():
+                raw = prints[group == g].tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(tasks[g], pa.int32()), pa.array([g] * len(tasks[g]), pa.int32()), pa.array([raw] * len(tasks[g]), pa.binary())], ["task", "own", "points"])
+
+    def search(batches):
+        task, parts = None, {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                task = row["task"]
+                parts.setdefault(row["own"], []).append(row["points"])
+        if task is None:
+            return
+        i, j = pairs[task // shares]
+        both = [np.frombuffer(b"".join(parts.pop(g, [])), np.int64).reshape(-1, _LANES + 1) for g in ([i] if i == j else [i, j])]
+        names, of = np.unique(np.concatenate([x[:, _LANES] for x in both]), return_inverse=True)
+        of = [of[: len(both[0])], of[len(both[0]) :]]
+        classes = Classes(len(names))
+        linked(both[0][:, :_LANES], both[1][:, :_LANES] if i < j else None, of[0], of[1], list(range(task % shares, KEYS, shares)), radius, classes)
+        found = np.array(classes.links, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(names[found[:, k]]) for k in range(2)], ["a", "b"])
+
+    dealt = points.select(*_FPS, "label").mapInArrow(deal, "task int, own int, points binary")
+    return dealt.repartitionById(len(pairs) * shares, "task").mapInArrow(search, "a long, b long")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -166,12 +318,20 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
+def classified(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """points with label, the same for all that chains of pairs within ``radius`` connect."""
+    first = components(stored(stars(points, radius))).withColumnRenamed("v", "fp")
+    points = stored(points.join(first, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    second = components(stored(links(points, radius))).withColumnRenamed("label", "last")
+    return points.join(second.withColumnRenamed("v", "label"), "label", "left").withColumn("label", F.coalesce("last", "label")).drop("last")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row for each document that goes: doc_id, the kept_doc_id that stays for it, and group_size."""
     prints = stored(_fingerprinted(docs))
     points = stored(prints.groupBy("fp", *_FPS).agg(F.lit(1).alias("one")).drop("one"))
-    labels = components(edges(points, radius))
-    named = prints.select("doc_id", "fp").distinct().join(labels.withColumnRenamed("v", "fp"), "fp", "left").select("doc_id", F.coalesce("label", "fp").alias("label"))
+    labels = classified(points, radius)
+    named = prints.select("doc_id", "fp").distinct().join(labels.select("fp", "label"), "fp").select("doc_id", "label")
     groups = named.groupBy("label").agg(F.min("doc_id").alias("kept_doc_id"), F.count_distinct("doc_id").alias("group_size")).where("group_size > 1")
     gone = named.join(groups, "label").where("doc_id <> kept_doc_id")
     # Rows that share an id but not a text may be in two groups: the smallest is named.

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from orrery.llm import simhash as S
 
@@ -91,3 +92,88 @@ def test_fingerprint_is_the_sign_of_sums():
         total += np.unpackbits(lanes.view(np.uint8)).astype(int) * 2 - 1
     assert (np.packbits(total > 0).view(np.uint32) == S.fingerprints(pa.array([text]))[1][0]).all()
     assert len(list(itertools.islice(own, 2))) == 2
+
+
+def at_distances(rng, bits: list[int], of: int = 192) -> np.ndarray:
+    """Pairs of fingerprints, one after the other, that differ in so many bits, spread evenly over all words."""
+    out = []
+    for n in bits:
+        a = rng.integers(0, 2, of, dtype=np.uint8)
+        b = a.copy()
+        for word in range(6):
+            b[word * 32 + rng.choice(32, n // 6 + (word < n % 6), replace=False)] ^= 1
+        out += [a, b]
+    return np.packbits(np.array(out), axis=1).view(np.int64)
+
+
+def points_of(spark, prints):
+    return spark.createDataFrame([(int(k), *map(int, p)) for k, p in enumerate(prints)], "fp long, f0 long, f1 long, f2 long")
+
+
+@pytest.mark.parametrize("group", [S.GROUP, 100])
+def test_every_pair_within_the_radius(spark, monkeypatch, group):
+    """Isolated pairs that differ in 18 to 30 bits are one class, those at 31 aren't; in one group of points and in several."""
+    monkeypatch.setattr(S, "GROUP", group)
+    bits = [18, 20, 22, 24, 25, 26, 27, 28, 29, 30] * 20 + [31, 32] * 20
+    prints = at_distances(np.random.default_rng(1), bits)
+    got = {r["fp"]: r["label"] for r in S.classified(points_of(spark, prints)).collect()}
+    assert len(got) == len(prints) and [got[2 * k] == got[2 * k + 1] for k in range(len(bits))] == [b <= S.RADIUS for b in bits]
+    assert len(set(got.values())) == len(prints) - sum(b <= S.RADIUS for b in bits)
+
+
+def test_groups_are_those_of_all_pairs(spark):
+    """Documents are grouped just as the components of all pairs within the radius."""
+    t = pq.read_table("/root/testdata/sf0.01/documents.parquet")
+    index, prints = S.fingerprints(t["text"].combine_chunks())
+    bits = np.unpackbits(prints.view(np.uint8), axis=1).astype(np.float32)
+    label, ids = np.arange(len(bits)), np.array(t["doc_id"].to_pylist())[index]
+    same = bits @ bits.T + (1 - bits) @ (1 - bits.T) >= 192 - S.RADIUS
+    while ((least := np.where(same, label, len(bits)).min(axis=1)) != label).any():
+        label = least
+    first = {}
+    for k in np.argsort(ids):
+        first.setdefault(label[k], int(ids[k]))
+    want = {int(d): first[x] for d, x in zip(ids, label, strict=True) if d != first[x]}
+    assert {r["doc_id"]: r["kept_doc_id"] for r in S.near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()} == want
+
+
+def test_isolated_copies_near_the_radius(spark):
+    """Copies with a tenth of their words changed, which no other document connects, are found without exception."""
+    rng, rows = random.Random(8), []
+    for k in range(400):
+        base, other = [f"p{k}x{i}" for i in range(200)], {*rng.sample(range(200), 18)}
+        copy = [f"q{k}x{i}" if i in other else w for i, w in enumerate(base)] if k % 2 else [*base[: -rng.randrange(8, 22)], f"q{k}"]
+        rows += [(2 * k, " ".join(base), "en", "s", 1), (2 * k + 1, " ".join(copy), "en", "s", 1)]
+    _, prints = S.fingerprints(pa.array([r[1] for r in rows]))
+    near = [k for k in range(400) if distance(prints[2 * k], prints[2 * k + 1]) <= S.RADIUS]
+    assert sum(distance(prints[2 * k], prints[2 * k + 1]) > 24 for k in near) > 50
+    assert {(r["doc_id"], r["kept_doc_id"], r["group_size"]) for r in S.near_duplicates(frame(spark, rows)).collect()} == {(2 * k + 1, 2 * k, 2) for k in near}
+
+
+def test_crowds_and_several_groups_are_searched_whole(monkeypatch):
+    """The search finds what comparing all pairs finds: with large classes, equal keys, small tiles and two groups."""
+    rng = np.random.default_rng(2)
+    centres = rng.integers(0, 2, (30, 192), dtype=np.uint8)
+    bits = np.repeat(centres, 40, axis=0) ^ (rng.random((1200, 192)) < rng.uniform(0.02, 0.12, (1200, 1)))
+    prints = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+    apart = np.bitwise_count((prints[:, None] ^ prints[None]).view(np.uint64)).sum(axis=2)
+    monkeypatch.setattr(S, "TILE", 50)
+    monkeypatch.setattr(S, "CROWD", 5)
+    for radius in (0, 7, 30):
+        want = S.Classes(len(prints))
+        want.join(*np.nonzero(apart <= radius))
+        of = rng.permutation(len(prints))
+        whole, halves = S.Classes(len(prints)), S.Classes(len(prints))
+        keys = list(range(S.KEYS))
+        S.linked(prints, None, of, None, keys, radius, whole)
+        for a, b in ((slice(0, 500), None), (slice(500, None), None), (slice(0, 500), slice(500, None))):
+            S.linked(prints[a], prints[b] if b else None, of[a], of[b] if b else None, keys, radius, halves)
+        for got in (whole, halves):
+            assert len(got.links) == len(want.links)
+            assert len({(want.find(k), got.find(int(of[k]))) for k in range(len(prints))}) == len(prints) - len(want.links)
+
+
+def test_reaches_leave_no_pair_out():
+    for radius in (0, 5, 11, 12, 30, 40):
+        assert sum(r + 1 for r in S.reaches(radius)) == radius + 1
+    assert len(S.masks(2)) == 137 and len(S.masks(1)) == 17 and len(S.masks(2, 5)) == 16 and len(S.masks(1, 0)) == 1
