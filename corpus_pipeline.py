@@ -27,7 +27,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id stays.
+    """Of every group of near copies the document with the smallest id stays; every pair within the radius counts.
 
     Null ids and texts without a word take no part and stay; rows of one id stay or go together. The stage works on what
     line deduplication has left: copies whose common lines are gone may no longer be alike.
@@ -70,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
-#: The trained language model of the first stage and the ball search have no SQL.
+#: The trained language model of the first stage and the search for near copies have no SQL.
 ORACLE_SQL = None

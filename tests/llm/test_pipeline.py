@@ -1,13 +1,17 @@
 from __future__ import annotations
 
+import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from orrery.llm import decontaminate, language_id, line_dedup, mixing, queries, simhash
 
 from orrery.llm.common import stored
 
-from .helpers import SCHEMA, clashing, hard_rows
+from .helpers import SCHEMA, clashing, frame, hard_rows
 
 
 def test_stages_follow_one_another(spark, sf_dir):
@@ -66,6 +70,19 @@ def test_clashing_names_long_texts_and_ties(spark, tmp_path):
     assert {r["doc_id"] for r in mixed} == {r["doc_id"] for r in kept}
 
 
+def test_no_near_copy_is_left(spark, sf_dir):
+    """The third stage keeps one of every pair within the radius, also of pairs that nothing else connects."""
+    rng, rows = random.Random(4), []
+    for k in range(200):
+        base, other = [f"p{k}x{i}" for i in range(200)], {*rng.sample(range(200), 15)}
+        rows += [(2 * k, " ".join(base), "en", "s", 1), (2 * k + 1, " ".join(f"q{k}x{i}" if i in other else w for i, w in enumerate(base)), "en", "s", 1)]
+    _, prints = simhash.fingerprints(pa.array([r[1] for r in rows]))
+    apart = np.bitwise_count(prints[::2] ^ prints[1::2]).sum(axis=1)
+    assert (apart > 22).sum() > 50 and (apart > simhash.RADIUS).any()
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, frame(spark, rows), sf_dir).collect()}
+    assert kept == {2 * k for k in range(200)} | {2 * k + 1 for k in range(200) if apart[k] > simhash.RADIUS}
+
+
 def test_registered():
     numbers = sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES)
     assert numbers == list(range(1, 11))
