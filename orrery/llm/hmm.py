@@ -304,15 +304,18 @@ def _pack(ids: np.ndarray) -> bytes:
 
 
 def _unpack(data: bytes, count: int) -> np.ndarray:
-    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * count, codec="zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).reshape(-1).view("<u4").astype(np.int64)
+    planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * count, codec="zstd", asbytes=True), np.uint8).reshape(4, -1)
+    out = planes[0].astype(np.int64)
+    for k in range(1, 4):
+        if planes[k].any():  # most chunks have words for three bytes at most
+            out |= np.left_shift(planes[k], 8 * k, dtype=np.int64)
+    return out
 
 
 def _by_shard(words: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The order that groups words by shard, and the bounds of the shards in it."""
-    shard = (mix(words.view(np.uint64)) >> np.uint64(20)) % np.uint64(shards)
-    order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
+    shard = ((mix(words.view(np.uint64)) >> np.uint64(20)) % np.uint64(shards)).astype(np.uint16 if shards <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
+    return np.argsort(shard, kind="stable"), np.r_[0, np.cumsum(np.bincount(shard, minlength=shards))]
 
 
 def _bundled(docs: DataFrame) -> int:
@@ -439,12 +442,12 @@ class Bundle(NamedTuple):
 def _opened(left: pa.Table, right: pa.Table, states: int) -> Bundle:
     """A bundle with the shards' answers; words that weren't asked for have no counts."""
     local = [np.frombuffer(x, np.int64) for x in left.column("words").to_pylist()]
-    words = np.unique(np.concatenate(local))
+    words, at = np.unique(np.concatenate(local), return_inverse=True)  # one sort; np.unique alone hashes, and searching each word takes longer too
     known = np.zeros((len(words), states))
     for raw, value in zip(right.column("words").to_pylist(), right.column("sums").to_pylist(), strict=True):
         known[np.searchsorted(words, np.frombuffer(raw, np.int64))] = np.frombuffer(value, np.float32).reshape(-1, states)
     lengths = [np.frombuffer(x, np.int64) for x in left.column("lengths").to_pylist()]
-    return Bundle(words, known, lengths, [np.searchsorted(words, w) for w in local], left.column("ids").to_pylist())
+    return Bundle(words, known, lengths, np.split(at, np.cumsum([len(w) for w in local])[:-1]), left.column("ids").to_pylist())
 
 
 def _trained(chunks: DataFrame, answers: DataFrame, model: Model, shards: int) -> DataFrame:
@@ -457,7 +460,10 @@ def _trained(chunks: DataFrame, answers: DataFrame, model: Model, shards: int) -
         counts, small = np.zeros_like(bundle.known), np.zeros(states * states + states + 1)
         for k, place in enumerate(bundle.places):
             own, moves, starts, log = expected(bundle.sequences(k), model, emit[place])
-            counts[place] += own
+            if k:
+                counts[place] += own
+            else:
+                counts[place] = own  # the words of a chunk are distinct
             small += np.r_[moves.ravel(), starts, log]
         number = left.column("bundle")[0].as_py()
         row = np.r_[small[:-1], counts.sum(axis=0), counts[~known].sum(axis=0), small[-1]]

@@ -158,3 +158,19 @@ def test_bundles_give_the_same_scores(spark, monkeypatch):
 def test_nothing_is_left_behind(spark):
     H.scored(frame(spark, [(1, "a b a b", "en", "s", 1)])).collect()
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("orrery_chunks")]
+
+
+@pytest.mark.parametrize("shards", [1, 51, 70_000])
+def test_bundles_and_messages_keep_every_word_in_its_place(shards):
+    rng = np.random.default_rng(6)
+    words_ = rng.integers(-(2**63), 2**63 - 1, 3000)
+    local = [rng.permutation(words_)[:n] for n in (2000, 0, 2500)]
+    ids = rng.integers(1 << 26, size=500)
+    assert (H._unpack(H._pack(ids), 500) == ids).all() and len(H._unpack(H._pack(ids[:0]), 0)) == 0
+    asked = np.unique(local[0])
+    messages = H._messages(3, asked, np.stack([asked % 1000] * 4, axis=1).astype(np.float32), shards)
+    assert sorted(np.concatenate([np.frombuffer(m[2], np.int64) for m in messages])) == sorted(asked) and len({m[0] for m in messages}) == len(messages)
+    left = pa.table({"words": pa.array([w.tobytes() for w in local], pa.binary()), "lengths": pa.array([b""] * 3, pa.binary()), "ids": pa.array([b""] * 3, pa.binary())})
+    bundle = H._opened(left, pa.table({"words": pa.array([m[2] for m in messages], pa.binary()), "sums": pa.array([m[3] for m in messages], pa.binary())}), 4)
+    assert all((bundle.words[place] == w).all() and len(place) == len(w) for place, w in zip(bundle.places, local, strict=True))
+    assert (bundle.known[:, 0] == np.where(np.isin(bundle.words, asked), bundle.words % 1000, 0)).all()
