@@ -15,7 +15,7 @@ Search: equal fingerprints are one. Two steps find every pair within ``radius``,
    within that reach, by exclusive or and bit count. Members of one label needn't be compared. Points, 32 bytes each, are
    dealt into groups of about ``GROUP``, and a task compares two groups; each task sends only the links that joined two
    classes there, fewer than it has classes. Comparisons grow with the square of the number of different fingerprints,
-   some 2 to 5 of a hundred pairs where groups are full: no pair is left out.
+   by arithmetic 1.6 for a hundred pairs where groups are full and keys even, more where they aren't: no pair is left out.
 
 Groups are the connected components of verified pairs (smallest labels with pointer jumping, every round written to
 the shared folder). The smallest doc_id of a group stays.
