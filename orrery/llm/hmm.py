@@ -19,7 +19,8 @@ the corpus and are never on one machine: they lie in shards of the hash space.
 4. Scoring: the scaled forward recursion gives each text's exact log-likelihood.
 
 The recursions are exact for texts of any length. Texts run side by side, a step being a few operations on all; those of
-more than ``SEGMENT`` words are cut into segments, whose K x K products are chained along each text first.
+more than ``SEGMENT`` words are cut into segments, which are chained along each text first: vectors are carried through the
+first and the last one, K x K products through those between.
 
 Emissions are (count + SMOOTHING) over their state's total; the state before the first word is drawn from the start
 distribution. Logarithms are natural; perplexity is exp(-log_likelihood / n_tokens).
@@ -129,53 +130,87 @@ def _lots(s: Sequences):
 
 
 def _peaks(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The emission table scaled by its words' greatest emissions, and their logarithms."""
-    peak = table.max(axis=1) if len(table) else np.zeros(0)
-    return table / peak[:, None], np.log(peak)
+    """The emission table, states first, scaled by its words' greatest emissions, and their logarithms."""
+    scaled = np.array(table.T, order="C")  # a copy in any case
+    peak = scaled.max(axis=0)
+    scaled /= peak
+    return scaled, np.log(peak)
 
 
 _kept: list[np.ndarray] = []
 
 
 def _room(size: int) -> list[np.ndarray]:
-    """Four arrays of doubles that a worker process keeps: memory that is new each time costs more than the sums in it."""
+    """Three arrays of doubles that a worker process keeps: memory that is new each time costs more than the sums in it."""
     if not _kept or len(_kept[0]) < size:
-        _kept[:] = [np.empty(size) for _ in range(4)]
+        _kept[:] = [np.empty(size) for _ in range(3)]
     return [x[:size] for x in _kept]
 
 
 def _flat(s: Sequences, own: np.ndarray, active: list[int], scaled: np.ndarray, out: np.ndarray | None = None) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Where each step of a lot begins, and its words and their emissions, one step after another."""
-    start = s.first[own]
-    ids = np.take(s.ids, np.concatenate([start[:n] + t for t, n in enumerate(active)]))
-    return np.r_[0, np.cumsum(active)].tolist(), ids, np.take(scaled, ids, axis=0, mode="clip", out=out)
+    """Where each step of a lot begins, and its words and their emissions, states first, one step after another."""
+    base = np.r_[0, np.cumsum(active)]
+    if len(own) < len(active):  # a segment at a time reads its words in order
+        ids = np.empty(base[-1], s.ids.dtype)
+        for i, (first, n) in enumerate(zip(s.first[own].tolist(), s.size[own].tolist(), strict=True)):
+            ids[base[:n] + i] = s.ids[first : first + n]
+    else:
+        at = np.arange(base[-1])
+        at -= np.repeat(base[:-1], active)
+        at = np.take(s.first[own], at)
+        at += np.repeat(np.arange(len(active)), active)
+        ids = np.take(s.ids, at)
+    return base.tolist(), ids, np.take(scaled, ids, axis=1, mode="clip", out=out)
+
+
+def _carried(s: Sequences, model: Model, scaled: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of ``begin`` carried through each segment's transitions and emissions, scaled to sum 1 together, and the
+    logarithm of the scale without the words' peaks."""
+    out, log = np.empty((len(s.first), *begin.shape)), np.zeros(len(s.first))
+    move = np.ascontiguousarray(model.move.T)
+    for own, active in _lots(s):
+        base, _, emit = _flat(s, own, active, scaled)
+        m = np.repeat(begin[:, :, None], len(own), axis=2)
+        spare, scale = np.empty_like(m), np.zeros(len(own))
+        for t, n in enumerate(active):
+            now = spare[:, :, :n]
+            np.matmul(move, m[:, :, :n], out=now)
+            now *= emit[:, base[t] : base[t + 1]]
+            stay = active[t + 1] if t + 1 < len(active) else 0
+            since = 0 if t % SCALED == SCALED - 1 else stay  # those that end here are scaled in any case
+            if since < n:
+                norm = now[:, :, since:].sum(axis=(0, 1))
+                now[:, :, since:] /= norm
+                scale[since:n] += np.log(norm)
+            if stay < n:
+                out[own[stay:n]] = now[:, :, stay:].transpose(2, 0, 1)
+            m, spare = spare, m
+        log[own] = scale
+    return out, log
+
+
+def _followed(s: Sequences, model: Model, scaled: np.ndarray) -> np.ndarray:
+    """The likelihood of each segment from each state before it, scaled to sum 1."""
+    out = np.empty((len(s.first), len(model.start)))
+    for own, active in _lots(s):
+        base, _, right = _flat(s, own, active, scaled)
+        beta = np.ones((len(model.start), len(own)))
+        for t in range(len(active) - 1, -1, -1):
+            now, here = beta[:, : active[t]], right[:, base[t] : base[t + 1]]
+            here *= now
+            np.matmul(model.move, here, out=now)
+            if t % SCALED == 0:
+                now /= now.sum(axis=0)
+        out[own] = beta.T
+    return out
 
 
 def _products(s: Sequences, model: Model, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each segment's product of transitions and emissions, scaled to sum 1, and the logarithm of its scale."""
-    k = len(model.start)
-    out, log = np.empty((len(s.first), k, k)), np.empty(len(s.first))
     scaled, log_peak = _peaks(table)
-    for own, active in _lots(s):
-        base, ids, emit = _flat(s, own, active, scaled)
-        m, next_m, scale = np.tile(np.eye(k), (len(own), 1)), np.empty((len(own) * k, k)), np.zeros(len(own))
-        for t, n in enumerate(active):
-            step = next_m[: n * k]
-            np.matmul(m[: n * k], model.move, out=step)
-            rows = step.reshape(n, k, k)
-            rows *= emit[base[t] : base[t + 1], None, :]
-            if t % SCALED == SCALED - 1 or t == len(active) - 1 or active[t + 1] < n:
-                norm = rows.sum(axis=(1, 2))
-                rows /= norm[:, None, None]
-                scale[:n] += np.log(norm)
-            if t + 1 < len(active) and active[t + 1] < n:
-                m[active[t + 1] * k : n * k] = step[active[t + 1] * k :]  # those that end here
-            m, next_m = (next_m, m) if n == len(own) else (m, next_m)
-            if n < len(own):
-                m[: n * k] = step
-        scale += np.bincount(np.concatenate([np.arange(n) for n in active]), log_peak[ids], len(own))
-        out[own], log[own] = m.reshape(len(own), k, k), scale
-    return out, log
+    out, log = _carried(s, model, scaled, np.eye(len(model.start)))
+    sums = np.r_[0.0, np.cumsum(log_peak[s.ids])]
+    return out, log + sums[s.first + s.size] - sums[s.first]
 
 
 def forward(s: Sequences, model: Model, products: np.ndarray, log: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -195,22 +230,41 @@ def forward(s: Sequences, model: Model, products: np.ndarray, log: np.ndarray) -
     return out, before
 
 
-def _borders(s: Sequences, model: Model, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The state distribution before each segment and the likelihood of what follows it, both scaled; only texts of
-    several segments need products."""
+def _borders(s: Sequences, model: Model, scaled: np.ndarray, following: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The state distribution before each segment and, if ``following``, the likelihood of what follows it, both scaled.
+
+    Only texts of several segments need work: a vector is carried on through their first segments and back through their
+    last ones, and only those between need products.
+    """
     k = len(model.start)
     before, after = np.broadcast_to(model.start, (len(s.first), k)).copy(), np.ones((len(s.first), k))
     long = sequences(s.ids, s.lengths, over=1)
     if len(long.first):
-        products, log = _products(long, model, table)
         own = np.flatnonzero(s.lengths[s.text] > SEGMENT)
-        before[own] = forward(long, model, products, log)[1]
-        at = np.ones((len(long.order), k))
-        for segment in reversed(long.chain):
-            n = len(segment)
-            after[own[segment]] = at[:n]
-            step = np.einsum("nij,nj->ni", products[segment], at[:n])
-            at[:n] = step / step.sum(axis=1, keepdims=True)
+        opening = np.r_[True, long.text[1:] != long.text[:-1]]
+        closing = np.r_[opening[1:], True]
+        inner = ~opening & ~closing
+        some = lambda which: long._replace(first=long.first[which], size=long.size[which])
+        passed, products = np.empty((len(own), k)), np.empty((len(own), k, k))
+        passed[opening] = _carried(some(opening), model, scaled, model.start[None])[0][:, 0]
+        products[inner] = _carried(some(inner), model, scaled, np.eye(k))[0]
+        on = [*map(len, long.chain[1:]), 0]  # how many texts go on after their j-th segment
+        at = passed[long.chain[0]]
+        at /= at.sum(axis=1, keepdims=True)
+        for j, segment in enumerate(long.chain[1:], 1):
+            before[own[segment]] = at[: len(segment)]
+            step = np.einsum("ni,nij->nj", at[: on[j]], products[segment[: on[j]]])
+            at[: on[j]] = step / step.sum(axis=1, keepdims=True)
+        if following:
+            passed[closing] = _followed(some(closing), model, scaled)
+            at = np.ones((len(long.order), k))
+            for j in range(len(long.chain) - 1, -1, -1):
+                segment = long.chain[j]
+                after[own[segment]] = at[: len(segment)]
+                if j:
+                    step = np.einsum("nij,nj->ni", products[segment[: on[j]]], at[: on[j]])
+                    at[: on[j]] = step / step.sum(axis=1, keepdims=True)
+                    at[on[j] : len(segment)] = passed[segment[on[j] :]]
     return before, after
 
 
@@ -222,10 +276,10 @@ class Lot(NamedTuple):
     base: list[int]  #: where step t begins
     ids: np.ndarray
     emit: np.ndarray  #: scaled emissions
-    before: np.ndarray  #: state distributions before each word
-    at: np.ndarray  #: and after it, not yet scaled to sum 1 but where scale isn't 1
-    scale: np.ndarray
+    at: np.ndarray  #: state distributions after each word, scaled to sum 1 at every SCALED-th step only
+    norm: dict[int, np.ndarray]  #: what the distributions of such a step were divided by
     log: np.ndarray  #: log-likelihood of each segment of the lot, without the words' peaks
+    spare: np.ndarray  #: room for as many doubles as there are in at
 
 
 def _forward_sweeps(s: Sequences, model: Model, scaled: np.ndarray, before: np.ndarray):
@@ -233,33 +287,29 @@ def _forward_sweeps(s: Sequences, model: Model, scaled: np.ndarray, before: np.n
     k = len(model.start)
     move = np.ascontiguousarray(model.move.T)
     for own, active in _lots(s):
-        rows, emit, came, at = _room(k * sum(active))
-        base, ids, rows = _flat(s, own, active, scaled, rows.reshape(-1, k))
-        emit, came, at = (x.reshape(k, -1) for x in (emit, came, at))
-        emit[...] = rows.T
-        scale, log = np.ones(len(ids)), np.zeros(len(own))
+        emit, at, spare = (x.reshape(k, -1) for x in _room(k * sum(active)))
+        base, ids, emit = _flat(s, own, active, scaled, emit)
+        norms, log = {}, np.zeros(len(own))
         now = before[own].T
         for t, n in enumerate(active):
             a, b = base[t], base[t + 1]
-            last, now, then = came[:, a:b], at[:, a:b], now
-            last[...] = then[:, :n]
-            np.matmul(move, last, out=now)
+            then, now = now, at[:, a:b]
+            np.matmul(move, then[:, :n], out=now)
             now *= emit[:, a:b]
             if t % SCALED == SCALED - 1:
-                norm = now.sum(axis=0)
+                norms[t] = norm = now.sum(axis=0)
                 now /= norm
-                scale[a:b] = norm
                 log[:n] += np.log(norm)
             stay = active[t + 1] if t + 1 < len(active) else 0
             if stay < n:
                 log[stay:n] += np.log(now[:, stay:].sum(axis=0))
-        yield Lot(own, active, base, ids, emit, came, at, scale, log)
+        yield Lot(own, active, base, ids, emit, at, norms, log, spare)
 
 
 def likelihoods(s: Sequences, model: Model, table: np.ndarray) -> np.ndarray:
     """The exact log-likelihood of each text."""
     scaled, log_peak = _peaks(table)
-    before, _ = _borders(s, model, table)
+    before, _ = _borders(s, model, scaled, following=False)
     out = np.zeros(len(s.lengths))
     for lot in _forward_sweeps(s, model, scaled, before):
         out += np.bincount(s.text[lot.own], lot.log, len(out))
@@ -268,34 +318,53 @@ def likelihoods(s: Sequences, model: Model, table: np.ndarray) -> np.ndarray:
     return out + sums[ends] - sums[ends - s.lengths]
 
 
+def _joint(lot: Lot, begin: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sums over a lot's words of the distribution before each word (``begin`` before the first) by its row of ``right``.
+
+    While as many segments go on, the words of a step follow those of the step before, so such steps are one product.
+    """
+    base, active = lot.base, lot.active
+    out = begin @ right[:, : base[1]].T
+    for t, until in itertools.pairwise([*np.flatnonzero(np.diff(active, prepend=0)).tolist(), len(active)]):
+        if t:
+            out += lot.at[:, base[t - 1] : base[t - 1] + active[t]] @ right[:, base[t] : base[t + 1]].T
+        if until - t > 1:
+            out += lot.at[:, base[t] : base[until - 1]] @ right[:, base[t + 1] : base[until]].T
+    return out
+
+
 def expected(s: Sequences, model: Model, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch counts: emissions for each row of the table, transitions, starts, and the log-likelihood."""
+    """Baum-Welch counts: emissions for each row of the table, transitions, starts, and the log-likelihood.
+
+    The backward recursion is divided by what the forward one was, so their product keeps its sum from word to word;
+    it is made 1 at a segment's last word.
+    """
     k = len(model.start)
     scaled, log_peak = _peaks(table)
-    before, after = _borders(s, model, table)
+    before, after = _borders(s, model, scaled)
     opening = np.r_[True, s.text[1:] != s.text[:-1]] if len(s.text) else np.zeros(0, bool)
-    moves, counts, starts, total = np.zeros((k, k)), np.zeros((len(table), k)), np.zeros(k), float(log_peak[s.ids].sum())
+    moves, counts, starts, total = np.zeros((k, k)), np.zeros((k, len(table))), np.zeros(k), 0.0
     for lot in _forward_sweeps(s, model, scaled, before):
         total += float(lot.log.sum())
-        beta, right, gamma = np.ascontiguousarray(after[lot.own].T), lot.emit, lot.at  # each emission is used once more
+        begin, right, beta = before[lot.own].T, lot.emit, lot.spare  # each emission is used once more
+        ends = np.array(lot.base)[s.size[lot.own] - 1] + np.arange(len(lot.own))
+        last = after[lot.own].T
+        beta[:, ends] = last / (last * lot.at[:, ends]).sum(axis=0)
+        first = np.empty((k, len(lot.own)))
         for t in range(len(lot.active) - 1, -1, -1):
             a, b = lot.base[t], lot.base[t + 1]
-            now, own = beta[:, : b - a], right[:, a:b]
-            gamma[:, a:b] *= now
-            own *= now
-            np.matmul(model.move, own, out=now)
-            if t % SCALED == 0:
-                now /= now.sum(axis=0)
-        post = beta[:, opening[lot.own]] * model.start[:, None]
+            own = right[:, a:b]
+            own *= beta[:, a:b]
+            if t in lot.norm:
+                own /= lot.norm[t]
+            np.matmul(model.move, own, out=beta[:, lot.base[t - 1] : lot.base[t - 1] + b - a] if t else first)
+        post = first[:, opening[lot.own]] * model.start[:, None]
         starts += (post / post.sum(axis=0)).sum(axis=1)
-        share = 1 / gamma.sum(axis=0)
-        gamma *= share
-        share /= lot.scale
-        right *= share
-        moves += lot.before @ right.T
+        moves += _joint(lot, begin, right)
+        gamma = np.multiply(lot.at, beta, out=beta)
         for j in range(k):
-            counts[:, j] += np.bincount(lot.ids, gamma[j], len(table))
-    return counts, moves * model.move, starts, total
+            counts[j] += np.bincount(lot.ids, gamma[j], len(table))
+    return np.ascontiguousarray(counts.T), moves * model.move, starts, total + float(counts.sum(axis=0) @ log_peak)
 
 
 def _pack(ids: np.ndarray) -> bytes:
@@ -305,11 +374,11 @@ def _pack(ids: np.ndarray) -> bytes:
 
 def _unpack(data: bytes, count: int) -> np.ndarray:
     planes = np.frombuffer(pa.decompress(data, decompressed_size=4 * count, codec="zstd", asbytes=True), np.uint8).reshape(4, -1)
-    out = planes[0].astype(np.int64)
-    for k in range(1, 4):
+    out = np.zeros((count, 4), np.uint8)
+    for k in range(4):
         if planes[k].any():  # most chunks have words for three bytes at most
-            out |= np.left_shift(planes[k], 8 * k, dtype=np.int64)
-    return out
+            out[:, k] = planes[k]
+    return out.view("<u4").ravel().astype(np.int64)
 
 
 def _by_shard(words: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:

@@ -146,6 +146,40 @@ def test_texts_of_many_segments_against_plain_recursion(monkeypatch, segment):
     assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(got[:3], (counts, moves, starts), strict=True))
 
 
+def test_products_only_where_texts_go_on(monkeypatch):
+    """Texts of one segment need no product, first and last segments carry one vector, and scoring needs nothing of last ones."""
+    monkeypatch.setattr(H, "SEGMENT", 10)
+    work, step = [], np.matmul
+    monkeypatch.setattr(H.np, "matmul", lambda a, b, **rest: (work.append(b.size // 4), step(a, b, **rest))[1])
+    model, table = random_model(np.random.default_rng(4), 4, 30)
+    lengths = np.array([10, 25, 7, 13, 0])
+    s = H.sequences(np.random.default_rng(5).integers(30, size=int(lengths.sum())), lengths)
+    H.likelihoods(s, model, table)
+    assert sum(work) == 55 + 2 * 10 + 4 * 10  # every word once, two first segments, the inner one as a product
+    work.clear()
+    H.expected(s, model, table)
+    assert sum(work) == 2 * 55 + 2 * 10 + 4 * 10 + 5 + 3  # there and back, and back once through the two last segments
+
+
+@pytest.mark.parametrize("segment", [13, 4096])
+def test_states_that_hardly_change_and_words_of_one_state(monkeypatch, segment):
+    """Probabilities down to 1e-12, so that the recursions are far from even between two scalings; inputs stay as they were."""
+    monkeypatch.setattr(H, "SEGMENT", segment)
+    rng = np.random.default_rng(7)
+    move = np.full((4, 4), 1e-11) + np.eye(4)
+    model = H.Model(np.full(4, 0.25), move / move.sum(axis=1, keepdims=True), np.ones(4), np.ones(4), 30)
+    table = np.where(rng.random((30, 4)) < 0.4, 1.0, 1e-12) * rng.random((30, 4))
+    lengths = np.array([300, 1, 12, 13, 14, 90])
+    ids = rng.integers(30, size=int(lengths.sum()))
+    s, kept = H.sequences(ids, lengths), table.copy()
+    counts, moves, starts, logs = naive(ids, lengths, model, table)
+    for given in (table, np.asfortranarray(table)):
+        got = H.expected(s, model, given)
+        assert np.allclose(H.likelihoods(s, model, given), logs, rtol=1e-9) and np.isclose(got[3], sum(logs), rtol=1e-9)
+        assert all(np.allclose(a, b, rtol=1e-6, atol=1e-9) for a, b in zip(got[:3], (counts, moves, starts), strict=True))
+        assert (given == kept).all()
+
+
 def test_bundles_give_the_same_scores(spark, monkeypatch):
     monkeypatch.setattr(H, "CHUNK", 300)
     rows = [(i, words(i, 10 + i, 80) + f" once{i}", "en", "s", 1) for i in range(60)]
