@@ -113,3 +113,17 @@ def test_capability_merge(spark):
     old = table(spark, [("pay", "Payments", "PayController", "approved"), ("job-7", "Seven", "NewJob", "rejected"), ("gone", "Gone", "Gone", "approved")], cap)
     got = {tuple(r) for r in M.merged_capabilities(old, found).collect()}
     assert got == {("pay", "Payments", "PayController", "approved", False), ("job-7", "Seven", "NewJob", "rejected", False), ("gone", "Gone", "Gone", "approved", True)}
+
+
+def test_topic_edges_of_large_topics(spark, monkeypatch):
+    """All pairs once, whatever the blocks; a topic is no key of the join by itself, else it would be one task's."""
+    from orrery.operators import model as M
+
+    monkeypatch.setattr(M, "BLOCK", (10, 2))
+    ends = spark.createDataFrame([(f"p{k}", "producer", "Kafka", "t") for k in range(200)] + [(f"c{k}", "consumer", "Kafka", "t") for k in range(7)] + [("p0", "consumer", "Kafka", "t"), ("p1", "producer", "Kafka", "u"), ("p1", "producer", "SQS", "u"), ("c1", "consumer", "Kafka", "u"), ("x", "producer", "Kafka", "v")], "file_path string, role string, technology string, topic string")
+    pairs = M.topic_edges(ends)
+    got = sorted((r["source_id"], r["target_id"], r["topic"]) for r in pairs.collect())
+    want = {(f"p{k}", c, "t") for k in range(200) for c in [*(f"c{j}" for j in range(7)), "p0"] if c != f"p{k}"} | {("p1", "c1", "u")}
+    assert got == sorted(want)
+    joins = [x for x in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x and "target_id" in x and "source_id" in x]
+    assert len(joins) == 1 and joins[0].count(" = ") >= 4
