@@ -149,7 +149,7 @@ def host_pass(elements: DataFrame, edges: DataFrame) -> DataFrame:
     flags = {"copybook": trait("copybook") | kind("copybook", "dclgen"), "maps": trait("maps"), "queue": trait("queue"), "data": trait("data"), "linked": F.coalesce("linked_", F.lit(False)), "executed": F.coalesce("executed_", F.lit(False)), "job": kind("jcl_job", "jcl_step")}
     judged = F.col("language").isin("cobol", "jcl") & F.col("stereotype").isin("Component", "Batch Job", "Service", "Repository") & kind("program", "program_ref", "copybook", "dclgen", "jcl_job", "jcl_step")
     again = F.when(judged, N.host_stereotype(flags)).otherwise(F.col("stereotype"))
-    return elements.join(marks, "id", "left").withColumn("stereotype", again).select(*elements.columns)
+    return elements.join(marks.hint("merge"), "id", "left").withColumn("stereotype", again).select(*elements.columns)
 
 
 #: What an element is, and what only its richest row says.

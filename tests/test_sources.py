@@ -5,6 +5,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from orrery import cli, overlays, render
@@ -184,3 +185,12 @@ def test_operations_in_yaml(spark):
 
     docs = spark.createDataFrame([("shop", "paths:\n  /items/{id}:\n    get: {summary: x}\n    post: {}\n"), ("old", '{"paths": {"/a": {"get": {}}}}'), ("bad", "a: [1"), ("none", None)], "service string, text string")
     assert {tuple(r) for r in M.operations(docs).collect()} == {("shop", "GET", "/items/{id}"), ("shop", "POST", "/items/{id}"), ("old", "GET", "/a")}
+
+
+@pytest.mark.parametrize("name", ["C5_step_programs", "C13_host_pass"])
+def test_parsed_elements_are_not_broadcast(spark, sf_dir, name):
+    """Their size is a guess: over larger tables all elements would go through the driver."""
+    import __spark_entry__ as entry
+
+    plan = entry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
